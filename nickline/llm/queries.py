@@ -1,13 +1,17 @@
 """The queries of the corpus operators and their SQL."""
 
-from . import decontaminate, licenses, secrets
+from . import archives, decontaminate, licenses, mixing, secrets
 
 QUERIES = {
+    "op2_archives": archives.op2_archives,
+    "op3_mixing": mixing.op3_mixing,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op9_secrets": secrets.op9_secrets,
     "op10_licenses": licenses.op10_licenses,
 }
 
 ORACLES = {
+    "op2_archives": archives.ORACLE,
+    "op3_mixing": mixing.ORACLE,
     "op5_decontaminate": decontaminate.ORACLE,
 }
