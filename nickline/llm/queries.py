@@ -1,11 +1,12 @@
 """The queries of the corpus operators and their SQL."""
 
-from . import archives, decontaminate, licenses, mixing, neighbours, pages, secrets
+from . import archives, decontaminate, jaccard, licenses, mixing, neighbours, pages, secrets
 
 QUERIES = {
     "op2_archives": archives.op2_archives,
     "op3_mixing": mixing.op3_mixing,
     "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op6_jaccard": jaccard.op6_jaccard,
     "op7_neighbours": neighbours.op7_neighbours,
     "op8_pages": pages.op8_pages,
     "op9_secrets": secrets.op9_secrets,
