@@ -122,7 +122,8 @@ def words(text):
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sources=None, copies: int = 2, seed: int = SEED, keep: bool = False) -> DataFrame:
-    """doc_id, size, source_size, target, taken for each row of docs; with keep, docs' own columns come first instead of doc_id.
+    """doc_id, size, source_size, target, taken for each row of docs; with keep, docs' own columns (but for any of
+    those names) come first instead of doc_id.
 
     sources: an array column of the sources a row belongs to (default: the column `source` alone; null is a source, an empty
     array belongs to none and isn't taken).  source_size and target are sums over a row's sources.
@@ -135,7 +136,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sources=Non
     sees the rows of a whole source.
     """
     spark = docs.sparkSession
-    own = [F.col(f"`{c}`") for c in docs.columns]
+    own = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("size", "source_size", "target", "taken")]
     sources = F.array(F.col("source")) if sources is None else sources
     name = F.transform(F.sort_array(F.array_distinct(sources)), lambda s: F.coalesce(F.concat(F.lit("s"), s.cast("string")), F.lit("n")))
     cell = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("")))), 1, 8), 16, 10).cast("bigint")

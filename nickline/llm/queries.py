@@ -1,8 +1,9 @@
 """The queries of the corpus operators and their SQL."""
 
-from . import archives, decontaminate, jaccard, licenses, mixing, neighbours, pages, secrets
+from . import archives, decontaminate, jaccard, licenses, mixing, neighbours, pages, secrets, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_archives": archives.op2_archives,
     "op3_mixing": mixing.op3_mixing,
     "op5_decontaminate": decontaminate.op5_decontaminate,
