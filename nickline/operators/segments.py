@@ -13,8 +13,8 @@ from ..plans.bridge import samples
 from . import geometry, tracks
 
 
-def _match():
-    return Window.partitionBy("match_id").orderBy("k")
+def _match(keys: tuple = ("match_id",)):
+    return Window.partitionBy(*keys).orderBy("k")
 
 
 def occupancy(track: DataFrame, dt: float = DT, rule: Play = Play()) -> DataFrame:
@@ -25,10 +25,10 @@ def occupancy(track: DataFrame, dt: float = DT, rule: Play = Play()) -> DataFram
     return by_sample.select("match_id", "k", "time_s", F.avg(F.when(F.col("blobs") >= 2, 1.0).otherwise(0.0)).over(near).alias("occupancy"))
 
 
-def runs(rows: DataFrame, state: str) -> DataFrame:
-    """match_id, run, state, first_k, last_k, start_s, end_s: maximal runs of equal state."""
-    turn = rows.withColumn("turn", F.when(F.col(state).eqNullSafe(F.lag(state).over(_match())) & (F.row_number().over(_match()) > 1), 0).otherwise(1))
-    return turn.withColumn("run", F.sum("turn").over(_match())).groupBy("match_id", "run").agg(F.first(state).alias(state), F.min("k").alias("first_k"), F.max("k").alias("last_k"), F.min("time_s").alias("start_s"), F.max("time_s").alias("end_s"))
+def runs(rows: DataFrame, state: str, keys: tuple = ("match_id",)) -> DataFrame:
+    """keys (match_id), run, state, first_k, last_k, start_s, end_s: maximal runs of equal state."""
+    turn = rows.withColumn("turn", F.when(F.col(state).eqNullSafe(F.lag(state).over(_match(keys))) & (F.row_number().over(_match(keys)) > 1), 0).otherwise(1))
+    return turn.withColumn("run", F.sum("turn").over(_match(keys))).groupBy(*keys, "run").agg(F.first(state).alias(state), F.min("k").alias("first_k"), F.max("k").alias("last_k"), F.min("time_s").alias("start_s"), F.max("time_s").alias("end_s"))
 
 
 def settled(pieces: list[list], least: float) -> list[list]:
@@ -96,19 +96,21 @@ def resting(track: DataFrame, segments: DataFrame | None = None, dt: float = DT,
     return act.select("match_id", "k", "time_s", (~F.col("in_play") | F.col("activity").isNull() | (F.col("activity") < least)).alias("resting"))
 
 
-def breaks(rest: DataFrame, rule: RallyRule = RallyRule()) -> DataFrame:
-    """match_id, start_s, end_s: runs of rest that last long enough."""
-    return runs(rest, "resting").filter(F.col("resting") & (F.col("end_s") - F.col("start_s") >= rule.min_break)).select("match_id", "start_s", "end_s")
+def breaks(rest: DataFrame, rule: RallyRule = RallyRule(), keys: tuple = ("match_id",), least=None) -> DataFrame:
+    """keys (match_id), start_s, end_s: runs of rest that last long enough; least may be a column of keys."""
+    least = F.lit(rule.min_break) if least is None else least
+    return runs(rest, "resting", keys).filter(F.col("resting") & (F.col("end_s") - F.col("start_s") >= least)).select(*keys, "start_s", "end_s")
 
 
-def rallies(rest: DataFrame, rule: RallyRule = RallyRule()) -> DataFrame:
-    """match_id, rally_index, start_s, end_s: what the breaks leave, where it lasts long enough."""
-    ends = rest.groupBy("match_id").agg(F.min("time_s").alias("lo"), F.max("time_s").alias("hi"))
-    edges = breaks(rest, rule).unionByName(ends.select("match_id", F.col("hi").alias("start_s"), F.lit(None).cast("double").alias("end_s")))
-    order = Window.partitionBy("match_id").orderBy("start_s", F.col("end_s").asc_nulls_last())
-    gaps = edges.join(ends, "match_id").select("match_id", F.coalesce(F.lag("end_s").over(order), F.col("lo")).alias("start_s"), F.col("start_s").alias("end_s"))
+def rallies(rest: DataFrame, rule: RallyRule = RallyRule(), keys: tuple = ("match_id",), least=None) -> DataFrame:
+    """keys (match_id), rally_index, start_s, end_s: what the breaks leave, where it lasts long enough."""
+    keys = list(keys)
+    ends = rest.groupBy(*keys).agg(F.min("time_s").alias("lo"), F.max("time_s").alias("hi"))
+    edges = breaks(rest, rule, tuple(keys), least).unionByName(ends.select(*keys, F.col("hi").alias("start_s"), F.lit(None).cast("double").alias("end_s")))
+    order = Window.partitionBy(*keys).orderBy("start_s", F.col("end_s").asc_nulls_last())
+    gaps = edges.join(ends, keys).select(*keys, F.coalesce(F.lag("end_s").over(order), F.col("lo")).alias("start_s"), F.col("start_s").alias("end_s"))
     kept = gaps.filter(F.col("end_s") - F.col("start_s") >= rule.min_rally)
-    return kept.select("match_id", (F.row_number().over(Window.partitionBy("match_id").orderBy("start_s")) - 1).cast("int").alias("rally_index"), "start_s", "end_s")
+    return kept.select(*keys, (F.row_number().over(Window.partitionBy(*keys).orderBy("start_s")) - 1).cast("int").alias("rally_index"), "start_s", "end_s")
 
 
 def excluding(track: DataFrame, lo: float, hi: float) -> DataFrame:

@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 from ..config import COURT, DT, CourtSpec, RallyRule, Smoothing, half_window
 
 
-def _player():
-    return Window.partitionBy("match_id", "slot").orderBy("k")
+def _player(keys: tuple = ("match_id",)):
+    return Window.partitionBy(*keys, "slot").orderBy("k")
 
 
-def _step(before: int = 1):
-    return F.sqrt(F.pow(F.col("x") - F.lag("x", before).over(_player()), 2) + F.pow(F.col("y") - F.lag("y", before).over(_player()), 2))
+def _step(keys: tuple = ("match_id",)):
+    back = lambda c: F.lag(c).over(_player(keys))
+    return F.sqrt(F.pow(F.col("x") - back("x"), 2) + F.pow(F.col("y") - back("y"), 2))
 
 
 def median_filter(track: DataFrame, window: int = Smoothing.window) -> DataFrame:
@@ -131,20 +132,20 @@ def coasted(track: DataFrame) -> DataFrame:
     return track.groupBy("match_id").agg(F.sum(F.when(F.col("x").isNotNull() & ~F.col("solid"), 1).otherwise(0)).cast("bigint").alias("coasted"))
 
 
-def speeds(track: DataFrame, dt: float = DT) -> DataFrame:
+def speeds(track: DataFrame, dt: float = DT, keys: tuple = ("match_id",)) -> DataFrame:
     """The track with speed, null where either end of a step is missing."""
-    return track.withColumn("speed", _step() / dt)
+    return track.withColumn("speed", _step(keys) / dt)
 
 
-def activity(track: DataFrame, dt: float = DT, window_s: float = RallyRule.activity_s) -> DataFrame:
-    """match_id, k, time_s, activity: the mean of both players' speeds in a centred window of samples.
+def activity(track: DataFrame, dt: float = DT, window_s: float = RallyRule.activity_s, keys: tuple = ("match_id",)) -> DataFrame:
+    """keys (match_id), k, time_s, activity: the mean of both players' speeds in a centred window of samples.
 
     Speeds are summed by sample first; the window then adds sums and counts.
     """
     half = half_window(window_s, dt)
-    by_sample = speeds(track, dt).groupBy("match_id", "k", "time_s").agg(F.sum("speed").alias("s"), F.count("speed").alias("n"))
-    near = Window.partitionBy("match_id").orderBy("k").rowsBetween(-half, half)
-    return by_sample.select("match_id", "k", "time_s", (F.sum("s").over(near) / F.nullif(F.sum("n").over(near), F.lit(0))).alias("activity"))
+    by_sample = speeds(track, dt, keys).groupBy(*keys, "k", "time_s").agg(F.sum("speed").alias("s"), F.count("speed").alias("n"))
+    near = Window.partitionBy(*keys).orderBy("k").rowsBetween(-half, half)
+    return by_sample.select(*keys, "k", "time_s", (F.sum("s").over(near) / F.nullif(F.sum("n").over(near), F.lit(0))).alias("activity"))
 
 
 def radial(track: DataFrame, court: CourtSpec = COURT) -> DataFrame:
