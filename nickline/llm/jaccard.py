@@ -349,3 +349,16 @@ def distinct(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
 
 def op6_jaccard(spark, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+ORACLE = """
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT rid, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT rid, w, unnest(generate_series(1, greatest(len(w) - 2, 1))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+e AS (SELECT a.rid AS u, b.rid AS v, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.rid < b.rid GROUP BY 1, 2),
+l AS (SELECT u, v FROM e JOIN n x ON x.rid = u JOIN n y ON y.rid = v WHERE 100 * shared >= 90 * (x.n + y.n - shared)),
+k AS (SELECT u, v FROM l UNION SELECT v, u FROM l),
+c AS (SELECT rid, rid AS at FROM n UNION SELECT c.rid, k.v FROM c JOIN k ON k.u = c.at)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.least, d.doc_id) AS component_id
+FROM d LEFT JOIN n USING (rid) LEFT JOIN (SELECT c.rid, min(t.doc_id) AS least FROM c JOIN d t ON t.rid = c.at GROUP BY 1) m USING (rid)
+"""

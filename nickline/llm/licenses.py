@@ -107,3 +107,27 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates=
 
 def op10_licenses(spark, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
+
+
+_WORDS = f"list_filter(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+_GRAMS = ", ".join(f"('{a} {b} {c}', {t}, {i}, {n}, '{label}')" for a, b, c, t, i, n, label in grams(TEMPLATES))
+_BASES = " ".join(f"WHEN {' AND '.join(f'w[p + {i}] = {chr(39)}{x}{chr(39)}' for i, x in enumerate(phrase.split()))} THEN '{label}'" for phrase, label in PHRASES)
+
+ORACLE = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
+p AS (SELECT rid, w, p FROM (SELECT rid, w, unnest(generate_series(1, len(w))) AS p FROM d)),
+b AS (SELECT rid, p - 1 AS pos, CASE {_BASES} END AS label FROM p),
+bb AS (SELECT rid, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list(DISTINCT label) AS labels FROM b WHERE label IS NOT NULL GROUP BY rid),
+k(gram, template, place, length, label) AS (VALUES {_GRAMS}),
+h AS (SELECT rid, template, length, label, pos - place AS diagonal, place, pos FROM (SELECT rid, p - 1 AS pos, w[p] || ' ' || w[p + 1] || ' ' || w[p + 2] AS gram FROM p) JOIN k USING (gram)),
+g AS (SELECT rid, template, length, label, diagonal, list(DISTINCT place) AS places, min(pos) AS first, max(pos) AS last FROM h GROUP BY ALL),
+n AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY rid, template ORDER BY diagonal) <= {SLACK} THEN 0 ELSE 1 END AS new FROM g),
+r AS (SELECT *, sum(new) OVER (PARTITION BY rid, template ORDER BY diagonal) AS passage FROM n),
+v AS (SELECT rid, template, length, label, passage, flatten(list(places)) AS places, min(first) AS first, max(last) + {K} AS stop FROM r GROUP BY ALL),
+c AS (SELECT *, CAST(len(list_distinct(flatten(list_transform(places, lambda x: generate_series(x, x + {K - 1}))))) AS DOUBLE) / length AS cover FROM v),
+o AS (SELECT rid, list(DISTINCT label) AS labels, max(cover) AS cover FROM c WHERE cover >= {COVER}::DOUBLE AND stop - first <= length + {2 * SLACK} GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(list_sort(bb.labels), ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(bb.labels, []), coalesce(o.labels, [])))), ','), '') AS labels,
+       greatest(coalesce(cover, 0.0::DOUBLE), CASE WHEN n_base > 0 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END) AS score
+FROM d LEFT JOIN bb USING (rid) LEFT JOIN o USING (rid)
+"""

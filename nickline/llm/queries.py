@@ -18,4 +18,7 @@ ORACLES = {
     "op2_archives": archives.ORACLE,
     "op3_mixing": mixing.ORACLE,
     "op5_decontaminate": decontaminate.ORACLE,
+    "op6_jaccard": jaccard.ORACLE,
+    "op9_secrets": secrets.ORACLE,
+    "op10_licenses": licenses.ORACLE,
 }
