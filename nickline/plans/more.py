@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import fitting, identity, scoreboard, segments, shots, tracks
 from . import bridge
+from .oracles import _rallies as rallies_sql
 from .oracles import chain
-from .queries import _points, _rallies, _shots, query, r6, s6
+from .queries import _NEAR, _points, _rallies, _shots, query, r6, s6
 
 _track = bridge.track
 
@@ -41,7 +44,22 @@ def q_blocks(spark, d):
     return fitting.time_blocks(_track(spark, d)).select("match_id", "fold", *r6("lo", "hi"))
 
 
-@query("grid_search")
+_GRID = ", ".join(f"({i}, {q}::DOUBLE, {b}::DOUBLE, {v}::DOUBLE)" for i, (q, b, v) in enumerate(itertools.product(*fitting.GRID.values())))
+#: Every setting as a match of its own, numbered match_id * 1000 + param.
+_SEARCH = {
+    "gp": f"SELECT * FROM (VALUES {_GRID}) AS v(param, quiet_speed, min_break, serve_bonus)",
+    "gs": "SELECT CAST(a.match_id * 1000 + param AS BIGINT) AS match_id, a.k, a.time_s, min_break, activity IS NULL OR activity < CASE WHEN server IS NOT NULL AND serve_bonus <> 1 THEN quiet_speed * serve_bonus ELSE quiet_speed END AS resting FROM act a JOIN sr USING (match_id, k), gp",
+    "gb": "SELECT match_id, min(time_s) AS start_s, max(time_s) AS end_s FROM (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY k) - row_number() OVER (PARTITION BY match_id, resting ORDER BY k) AS g FROM gs) WHERE resting GROUP BY match_id, g, min_break HAVING max(time_s) - min(time_s) >= min_break",
+    "gl": rallies_sql("gb", "gs"),
+    "gd": "SELECT match_id, end_s AS time_s, row_number() OVER (PARTITION BY match_id ORDER BY end_s) AS i FROM gl",
+    "gf": "SELECT m.match_id, coalesce(list_sort(list(p.time_s) FILTER (p.time_s IS NOT NULL)), []) AS free FROM (SELECT DISTINCT match_id FROM gs) m LEFT JOIN po p ON p.match_id = m.match_id // 1000 GROUP BY 1",
+    "gg": f"""SELECT match_id, 0 AS i, free, 0 AS tp, 0 AS fp FROM gf UNION ALL
+      SELECT match_id, i + 1, CASE WHEN len(near) > 0 THEN list_filter(free, lambda r: r <> near[1].r) ELSE free END, tp + CASE WHEN len(near) > 0 THEN 1 ELSE 0 END, fp + CASE WHEN len(near) > 0 THEN 0 ELSE 1 END FROM (SELECT g.*, {_NEAR} AS near FROM gg g JOIN gd d ON d.match_id = g.match_id AND d.i = g.i + 1)""",
+    "gc": "SELECT match_id // 1000 AS match_id, CAST(match_id % 1000 AS INT) AS param, arg_max(tp, i) AS tp, arg_max(fp, i) AS fp, arg_max(len(free), i) AS fn FROM gg GROUP BY gg.match_id",
+}
+
+
+@query("grid_search", chain("SELECT CAST(match_id AS INT) AS match_id, param, quiet_speed, min_break, serve_bonus, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, round(f1, 6) AS f1 FROM (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY f1 DESC, param) AS n FROM (SELECT *, CASE WHEN tp > 0 THEN 2 * tp / CAST(2 * tp + fp + fn AS DOUBLE) ELSE 0 END AS f1 FROM gc JOIN gp USING (param))) WHERE n = 1", "act", "sr", "po", recursive=True, **_SEARCH))
 def q_grid(spark, d):
     return fitting.grid_search(_track(spark, d), _points(spark, d).select("match_id", "time_s")).select("match_id", "param", "quiet_speed", "min_break", "serve_bonus", "tp", "fp", "fn", *r6("f1"))
 
@@ -149,7 +167,8 @@ def q_level(spark, d):
 
 @query("score_changes")
 def q_changes(spark, d):
-    return scoreboard.score_changes(_patches(spark, d), 8).select("cell", "i", *r6("magnitude"))
+    held = F.first("patch").over(Window.partitionBy("cell", F.expr("i div 14")).orderBy("i"))
+    return scoreboard.score_changes(_patches(spark, d).withColumn("patch", held), 8).select("cell", "i", *r6("magnitude"))
 
 
 def _readings(spark, d):

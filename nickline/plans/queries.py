@@ -308,11 +308,21 @@ def _match_pairs(spark, d):
     return matching.greedy_match(_rallies(spark, d).select("match_id", F.col("end_s").alias("time_s")), _points(spark, d).select("match_id", "time_s"), 5.0)
 
 
-@query("greedy_match")
+_NEAR = "list_sort(list_transform(list_filter(free, lambda r: abs(r - time_s) <= 5.0::DOUBLE), lambda r: {'d': abs(r - time_s), 'r': r}))"
+_GREEDY = {
+    "de": "SELECT match_id, end_s AS time_s, row_number() OVER (PARTITION BY match_id ORDER BY end_s) AS i FROM ra",
+    "fr": "SELECT m.match_id, coalesce(list_sort(list(p.time_s) FILTER (p.time_s IS NOT NULL)), []) AS free FROM (SELECT match_id FROM ra UNION SELECT match_id FROM po) m LEFT JOIN po p USING (match_id) GROUP BY 1",
+    "gr": f"""SELECT match_id, 0 AS i, free, NULL::DOUBLE AS detected_s, NULL::DOUBLE AS reference_s FROM fr UNION ALL
+      SELECT match_id, i + 1, CASE WHEN len(near) > 0 THEN list_filter(free, lambda r: r <> near[1].r) ELSE free END, time_s, near[1].r FROM (SELECT g.match_id, g.i, g.free, d.time_s, {_NEAR} AS near FROM gr g JOIN de d ON d.match_id = g.match_id AND d.i = g.i + 1)""",
+    "pr": "SELECT match_id, detected_s, reference_s FROM gr WHERE i > 0 UNION ALL SELECT match_id, NULL, unnest(free) FROM (SELECT match_id, arg_max(free, i) AS free FROM gr GROUP BY 1)",
+}
+
+
+@query("greedy_match", chain(f"SELECT match_id, {s6('detected_s', 'reference_s')} FROM pr", "ra", "po", recursive=True, **_GREEDY))
 def q_greedy(spark, d):
     return _match_pairs(spark, d).select("match_id", *r6("detected_s", "reference_s"))
 
 
-@query("match_scores")
+@query("match_scores", chain("SELECT match_id, tp, fp, fn, round(CASE WHEN tp + fp > 0 THEN tp / CAST(tp + fp AS DOUBLE) ELSE 0 END, 6) AS precision, round(CASE WHEN tp + fn > 0 THEN tp / CAST(tp + fn AS DOUBLE) ELSE 0 END, 6) AS recall, round(CASE WHEN tp > 0 THEN 2 * tp / CAST(2 * tp + fp + fn AS DOUBLE) ELSE 0 END, 6) AS f1 FROM (SELECT match_id, count(*) FILTER (detected_s IS NOT NULL AND reference_s IS NOT NULL) AS tp, count(*) FILTER (reference_s IS NULL) AS fp, count(*) FILTER (detected_s IS NULL) AS fn FROM pr GROUP BY 1)", "ra", "po", recursive=True, **_GREEDY))
 def q_scores(spark, d):
     return matching.scores(_match_pairs(spark, d)).select("match_id", "tp", "fp", "fn", *r6("precision", "recall", "f1"))
