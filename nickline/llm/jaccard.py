@@ -312,7 +312,8 @@ def classes_of(docs: DataFrame, doc_id: str, text: str, k: int, t: Fraction) ->
     heads = saved(heads.select("key", "head.doc_id", "n", "c"), "heads")
     blocks = heads.groupBy("c").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("classes")).filter("classes > 1")
     needed = heads.join(blocks, "c").select(F.col("doc_id").alias("r_id"), "key", "c", F.pmod(F.hash("key"), "blocks").alias("block"), "blocks")
-    chosen = rows.filter("text is not null").join(needed, F.col("doc_id").eqNullSafe(F.col("r_id")))
+    # texts are shuffled at every size: the needed ids grow with the input, so they aren't broadcast where they happen to be few
+    chosen = rows.filter("text is not null").join(needed.hint("merge"), F.col("doc_id").eqNullSafe(F.col("r_id")))
     chosen = chosen.select("c", "text", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("x"), F.greatest("block", o).alias("y")))).alias("pair"), F.col("block").alias("part"))
     linked = chosen.groupBy("c", "pair").applyInArrow(_linker(k, t), "u string, v string")
     return sketch, components(saved(linked, "links"), "linked").withColumnRenamed("v", "key")
