@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import packed, per_text, saved, small_batches, table, texts
+from .common import packed, per_text, release, saved, small_batches, table, texts
 
 #: A-Z in lower case; white space is a space; all else stays.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if c in (9, 10, 11, 12, 13) else c for c in range(256))
@@ -25,8 +25,11 @@ BITS = 4096
 LEAF = 16
 #: Shingles of the classes that one task compares at most, about; a larger group is dealt out in blocks, and pairs of blocks are tasks.
 BLOCK = 1_000_000
-#: Sizes of the differences that parts are made for: the next is larger by half.
-LEVEL = 1.5
+#: Sizes of the differences that parts are made for: the next is larger by so much.
+LEVEL = 1.3
+#: Shingles that this many texts of a sample of at most so many have are frequent, the commonest first.  Any such list gives the same result;
+#: a better one brings fewer unlike texts together.
+FREQUENT, SAMPLE, MOST_FREQUENT = 5, 20_000, 500_000
 
 _M = np.uint64(0xFF51AFD7ED558CCD)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -97,31 +100,39 @@ def differences(n, t: Fraction):
     return (n * (t.denominator - t.numerator)) // t.numerator
 
 
-def signatures(hashes: np.ndarray, t: Fraction) -> np.ndarray:
+def signatures(hashes: np.ndarray, t: Fraction, frequent: np.ndarray | None = None) -> np.ndarray:
     """A signature for each part of the set.  Sets of similarity t or more have one in common.
 
     At level d the hashes fall into m > d parts by another hash.  Two linked sets differ in at most d shingles, so at least m - d parts
-    are equal in both.  If a set has fewer than m - d empty parts, one of the equal parts isn't empty; only a set with more
-    empty parts also signs the empty ones, and of two linked sets either both do or one shares a part that isn't empty.
+    are equal in both.  A part is weak without a shingle that isn't frequent, and weaker still if empty.  If a set has fewer than m - d weak parts, one of
+    the equal parts isn't weak, and both sets sign it; only a set with more also signs its weak parts that aren't empty, and only one with so
+    many empty parts signs those.  So of two linked sets both sign an equal part at the first of these steps that holds for either.
     """
     n = len(hashes)
     if not n:
         return np.zeros(0, np.uint64)
+    rare = np.ones(n, bool)
+    if frequent is not None and len(frequent):
+        rare = frequent[np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)] != hashes
     least = -(-n * t.numerator // t.denominator)
     lo, hi = np.searchsorted(_LEVELS, [differences(least, t), differences(n, t)])
     out = []
     with np.errstate(over="ignore"):
         for level in range(int(lo), int(hi) + 1):
             d = int(_LEVELS[level])
-            m = 1 if d == 0 else d + 1 + max(3, d // 16)
+            m = 1 if d == 0 else d + 1 + max(3, d // 5)
             seed = np.uint64(level + 1) * _GOLD
             x = mixed(hashes ^ seed)
             part = (x % np.uint64(m)).astype(np.int64)
             low = np.bincount(part, (x & np.uint64(0xFFFFFFFF)).astype(np.float64), m).astype(np.uint64)
             high = np.bincount(part, (x >> np.uint64(32)).astype(np.float64), m).astype(np.uint64)
-            filled = np.bincount(part, minlength=m) > 0
             sign = mixed(mixed(low + (high << np.uint64(32))) + mixed(np.arange(m, dtype=np.uint64) + seed))
-            out.append(sign if m - d <= m - filled.sum() else sign[filled])
+            strong, filled = np.bincount(part[rare], minlength=m) > 0, np.bincount(part, minlength=m) > 0
+            if m - strong.sum() < m - d:
+                sign = sign[strong]
+            elif m - filled.sum() < m - d:
+                sign = sign[filled]
+            out.append(sign)
     return np.concatenate(out)
 
 
@@ -140,32 +151,51 @@ def _sketches(k: int):
     return sketch
 
 
-def _signed(k: int, t: Fraction):
+def _signed(k: int, t: Fraction, handle):
     """(sign, vertex) of each text, once for a class in a task as far as it remembers."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set = set()
-        for batch in batches:
-            signs, owners, size = [], [], 0
-            for text in texts(batch.column(0)):
-                h = shingles(text, k)
-                if not len(h) or (key := class_key(h)) in seen:
-                    continue
-                if len(seen) < 1_000_000:
-                    seen.add(key)
-                s = signatures(h, t)
-                signs.append(s)
-                owners.append(np.full(len(s), key[0]))
-                size += len(s)
-                if size > 500_000:
-                    yield _pairs(signs, owners)
-                    signs, owners, size = [], [], 0
-            if signs:
+        frequent = handle.value
+        signs, owners, size = [], [], 0
+        for key, h in _once(batches, k):
+            s = signatures(h, t, frequent)
+            signs.append(s)
+            owners.append(np.full(len(s), key[0]))
+            size += len(s)
+            if size > 500_000:
                 yield _pairs(signs, owners)
+                signs, owners, size = [], [], 0
+        if signs:
+            yield _pairs(signs, owners)
 
     return sign
 
 
+def _once(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[tuple[int, int], np.ndarray]]:
+    """(class, shingles) of the texts, as far as a task remembers each class once."""
+    seen: set = set()
+    for batch in batches:
+        for text in texts(batch.column(0)):
+            h = shingles(text, k)
+            if len(h) and (key := class_key(h)) not in seen:
+                if len(seen) < 1_000_000:
+                    seen.add(key)
+                yield key, h
+
+
+def frequent_shingles(rows: DataFrame, k: int, n: int) -> np.ndarray:
+    """The sorted hashes of the shingles that several texts of a sample of the n rows (text) have."""
+    sampled = rows.filter(F.pmod(F.xxhash64("text"), F.lit(n // SAMPLE + 1)) == 0)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, h in _once(batches, k):
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
+
+    counts = sampled.mapInArrow(each, "h bigint").groupBy("h").count().filter(F.col("count") >= FREQUENT)
+    found = counts.orderBy(F.col("count").desc(), "h").limit(MOST_FREQUENT).select("h").toPandas().h.to_numpy(np.int64)
+    return np.sort(found.view(np.uint64))
+
+
 def _pairs(signs, owners) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(signs).view(np.int64)), pa.array(np.concatenate(owners))], names=["sign", "v"])
 
@@ -303,9 +333,14 @@ def classes_of(docs: DataFrame, doc_id: str, text: str, k: int, t: Fraction) ->
     sketch = rows.select("doc_id", per_text(_sketches(k), "struct<n: bigint, a: bigint, b: bigint>")("text").alias("s"))
     sketch = saved(sketch.select("doc_id", "s.n", F.col("s.a").alias("v"), _hex("s.a", "s.b").alias("key")), "sketches")
 
-    signs = rows.filter("text is not null").select("text").mapInArrow(_signed(k, t), "sign bigint, v bigint")
+    some = rows.filter("text is not null").select("text")
+    handle = spark.sparkContext.broadcast(frequent_shingles(some, k, sketch.count()))
+    signs = some.mapInArrow(_signed(k, t, handle), "sign bigint, v bigint")
     near = signs.withColumn("u", F.lag("v").over(Window.partitionBy("sign").orderBy("v"))).filter("u <> v").select("u", "v")
-    coarse = components(saved(near.distinct(), "near"), "coarse")
+    near = saved(near.distinct(), "near")
+    del signs
+    release(spark)
+    coarse = components(near, "coarse")
 
     # one text of each class, and the group it belongs to
     heads = sketch.join(coarse, "v").groupBy("key").agg(F.min_by(F.struct("doc_id"), F.struct("doc_id")).alias("head"), F.max("n").alias("n"), F.max("c").alias("c"))
@@ -315,8 +350,10 @@ def classes_of(docs: DataFrame, doc_id: str, text: str, k: int, t: Fraction) ->
     # texts are shuffled at every size: the needed ids grow with the input, so they aren't broadcast where they happen to be few
     chosen = rows.filter("text is not null").join(needed.hint("merge"), F.col("doc_id").eqNullSafe(F.col("r_id")))
     chosen = chosen.select("c", "text", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("x"), F.greatest("block", o).alias("y")))).alias("pair"), F.col("block").alias("part"))
-    linked = chosen.groupBy("c", "pair").applyInArrow(_linker(k, t), "u string, v string")
-    return sketch, components(saved(linked, "links"), "linked").withColumnRenamed("v", "key")
+    linked = saved(chosen.groupBy("c", "pair").applyInArrow(_linker(k, t), "u string, v string"), "links")
+    del chosen
+    release(spark)
+    return sketch, components(linked, "linked").withColumnRenamed("v", "key")
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 3, similarity: Fraction = Fraction(9, 10)) -> DataFrame:

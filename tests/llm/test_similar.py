@@ -59,6 +59,7 @@ def texts(n, seed=1):
 @pytest.mark.parametrize("k, t, block", [(3, Fraction(9, 10), jaccard.BLOCK), (5, Fraction(4, 5), jaccard.BLOCK), (2, Fraction(1, 2), 300)])
 def test_join(spark, monkeypatch, k, t, block):
     monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "FREQUENT", 2)
     rows = [(i, x) for i, x in enumerate(texts(160))] + [(3, "a b c"), (None, "a b c"), (None, None), (200, "a"), (200, "a")]
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n long")
     got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join(docs, k=k, similarity=t).collect()]
@@ -83,7 +84,10 @@ def test_linked_sets_share_a_signature():
             b = np.unique(np.concatenate([a[gone:], rng.integers(1, 1 << 63, int(rng.integers(0, 8)), dtype=np.uint64)]))
             both = len(np.intersect1d(a, b))
             if len(b) and both * t.denominator >= t.numerator * (len(a) + len(b) - both):
-                assert np.intersect1d(jaccard.signatures(a, t), jaccard.signatures(b, t)).size
+                for share in (0, 0.3, 0.9, 1):  # any list of frequent shingles will do
+                    every = np.union1d(a, b)
+                    common = np.sort(rng.choice(every, int(share * len(every)), replace=False))
+                    assert np.intersect1d(jaccard.signatures(a, t, common), jaccard.signatures(b, t, common)).size
 
 
 def test_tree_loses_no_link():
