@@ -55,8 +55,8 @@ def powers(n: int) -> np.ndarray:
     return _powers
 
 
-def shingles(text: bytes, k: int) -> np.ndarray:
-    """The sorted 64-bit hashes of the text's distinct shingles of k words; of fewer words, the whole is one."""
+def word_hashes(text: bytes) -> np.ndarray:
+    """The 64-bit hashes of the text's words `[^\\x20\\x09-\\x0D]+`, in order."""
     data = np.frombuffer(text.translate(FOLD), np.uint8)
     gap = np.concatenate([[True], data == 32, [True]])
     first, end = np.flatnonzero(~gap[1:] & gap[:-1]), np.flatnonzero(gap[1:] & ~gap[:-1])
@@ -64,15 +64,29 @@ def shingles(text: bytes, k: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     with np.errstate(over="ignore"):
         # a word's hash: its bytes times powers that start anew with each word
-        place = np.arange(len(data)) - np.repeat(np.concatenate([first, [0]]), np.diff(np.concatenate([[0], first[1:], [len(data), len(data)]]))) if len(first) else 0
+        place = np.arange(len(data)) - np.repeat(np.concatenate([first, [0]]), np.diff(np.concatenate([[0], first[1:], [len(data), len(data)]])))
         value = _BYTE[data] * powers(len(data) + 1)[np.maximum(place, 0)]
         sums = np.concatenate([[np.uint64(0)], np.cumsum(value)])
-        word = mixed(sums[end] - sums[first] + (end - first).astype(np.uint64))
-        n = min(k, len(word))
-        out = np.zeros(len(word) - n + 1, np.uint64)
-        for i in range(n):
-            out = mixed(out * _BASE + word[i : len(word) - n + 1 + i])
-        if len(word) < k:
+        return mixed(sums[end] - sums[first] + (end - first).astype(np.uint64))
+
+
+def rolling(word: np.ndarray, k: int) -> np.ndarray:
+    """The hashes of all runs of k words, of which there must be as many."""
+    out = np.zeros(len(word) - k + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(k):
+            out = mixed(out * _BASE + word[i : len(word) - k + 1 + i])
+    return out
+
+
+def shingles(text: bytes, k: int) -> np.ndarray:
+    """The sorted 64-bit hashes of the text's distinct shingles of k words; of fewer words, the whole is one."""
+    word = word_hashes(text)
+    if not len(word):
+        return word
+    out = rolling(word, min(k, len(word)))
+    if len(word) < k:
+        with np.errstate(over="ignore"):
             out = mixed(out + np.uint64(len(word)))
     return np.unique(out)
 
