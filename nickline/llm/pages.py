@@ -45,8 +45,10 @@ def _name(tag: str, attrs: str) -> tuple[str, bool]:
     if not attrs:
         return tag, tag in OUTSIDE
     got = {m[1].lower(): " ".join((m[2] or m[3] or m[4] or "").lower().split()) for m in _ATTR.finditer(attrs)}
-    name = tag + "".join(mark + got[k].replace(">", "").replace(" ", ".") for k, mark in (("class", "."), ("id", "#"), ("role", "@")) if got.get(k))
-    return name, tag in OUTSIDE or any(_WORD.search(x) for v in got.values() for x in v.split())
+    outside = tag in OUTSIDE or any(_WORD.search(x) for v in got.values() for x in v.split())
+    # an article's class and id may be its page's own
+    said = (("role", "@"),) if tag in ("article", "main") and not outside else (("class", "."), ("id", "#"), ("role", "@"))
+    return tag + "".join(mark + got[k].replace(">", "").replace(" ", ".") for k, mark in said if got.get(k)), outside
 
 
 def blocks(page: str) -> tuple[list[tuple[tuple[str, ...], bool, str]], Counter]:
@@ -144,7 +146,7 @@ _SEEN = pa.schema([("host", pa.string()), ("token", pa.string()), ("pages", pa.i
 
 
 def templates(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
-    """host, classes: each host's classes of tokens with equal occurrence vectors, as (once, chars, tokens).
+    """host, classes: each host's classes of tokens with equal occurrence vectors, as (once, tokens), a token as (token, chars).
 
     An occurrence vector is kept as a sum over pages, so that it adds up before the shuffle and a host with a third of all
     pages sends each task's sums only.  Tokens of under half of the host's pages belong to no template.
@@ -156,21 +158,21 @@ def templates(pages: DataFrame, url: str = "url", page: str = "html") -> DataFra
     seen = saved(seen.groupBy("host", "token").agg(*[F.sum(c).alias(c) for c in ("pages", "total", "print", "chars")]), "tokens")
     known = seen.groupBy("host").agg(F.max(F.when(F.col("token") == "", F.col("pages"))).alias("all"))
     lasting = seen.join(known, "host").filter(F.col("pages") >= SUPPORT * F.col("all"))
-    classes = lasting.groupBy("host", "pages", "total", "print").agg(F.max("chars").alias("chars"), F.sort_array(F.collect_list("token")).alias("tokens"))
-    return classes.groupBy("host").agg(F.sort_array(F.collect_list(F.struct((F.col("pages") == F.col("total")).alias("once"), "chars", "tokens"))).alias("classes"))
+    classes = lasting.groupBy("host", "pages", "total", "print").agg(F.sort_array(F.collect_list(F.struct("token", "chars"))).alias("tokens"))
+    return classes.groupBy("host").agg(F.sort_array(F.collect_list(F.struct((F.col("pages") == F.col("total")).alias("once"), "tokens"))).alias("classes"))
 
 
 def slot(classes: list[dict]) -> str:
     """The path of the template's container whose slot is the article; empty if the template doesn't say.
 
-    That is the outermost article or main element, if the template has one; else the innermost container, outside menus and the like, that
-    holds most of the host's text.
+    That is the article or main element that holds most, the outermost of equals, if the template has one; else the innermost container,
+    outside menus and the like, that itself holds most of the host's text.
     """
-    tokens = [(t, c["once"], c["chars"]) for c in classes for t in c["tokens"]]
+    tokens = [(t["token"], c["once"], t["chars"]) for c in classes for t in c["tokens"]]
     inside = [x for x in tokens if x[0] and not any(_outside(p) for p in x[0].split(">"))]
-    named = [t for t, _, _ in inside if _is_main(t.rpartition(">")[2])]
+    named = [(-c, t.count(">"), t) for t, _, c in inside if _is_main(t.rpartition(">")[2])]
     if named:
-        return min(named, key=lambda t: (t.count(">"), t))
+        return min(named)[2]
     most = max((c for t, _, c in tokens if not t), default=0)
     held = [t for t, once, c in inside if once and c >= 0.6 * most > 0]
     return max(held, key=lambda t: (t.count(">"), t), default="")
@@ -204,7 +206,7 @@ def main_text(page: str, where: str) -> str:
             parts = path.split(">")
             for k in range(len(parts) + 1):
                 chars[">".join(parts[:k])] += len(said)
-        own = slot([{"once": n == 1, "chars": chars[t], "tokens": [t]} for p, n in opened.items() for t in [">".join(p)]] + [{"once": True, "chars": chars[""], "tokens": [""]}])
+        own = slot([{"once": n == 1, "tokens": [{"token": t, "chars": chars[t]}]} for t, n in [("", 1), *((">".join(p), n) for p, n in opened.items())]])
         inner = [said for path, said in kept if not own or path == own or path.startswith(own + ">")]
     return "\n".join(inner)
 

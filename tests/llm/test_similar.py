@@ -152,6 +152,22 @@ def test_pages(spark):
     assert pages.extract(df).count() == len(rows)
 
 
+def extracted(spark, htmls):
+    df = spark.createDataFrame([(i, f"http://h.com/{i}", h) for i, h in enumerate(htmls)], "page_id long, url string, html string")
+    return {r.row.page_id: r.text for r in pages.extract(df).collect()}
+
+
+def test_pages_without_article_elements_keep_whole_articles(spark):
+    box = "<body><div id=content><h1>T%d</h1><p>First %d of it.</p><div class=box>b%d</div><p>Last %d of it.</p></div></body>"
+    got = extracted(spark, [box % (i, i, i, i) for i in range(4)])
+    assert got == {i: f"T{i}\nFirst {i} of it.\nb{i}\nLast {i} of it." for i in range(4)}
+
+
+def test_articles_with_ids_of_their_own(spark):
+    page = "<body><h1>Site %d</h1><article id=post-%d class='post-%d c%d'><p>Text %d goes on.</p></article><div class=x1>Other %d words that stand behind the text</div></body>"
+    assert extracted(spark, [page % ((i,) * 6) for i in range(4)]) == {i: f"Text {i} goes on." for i in range(4)}
+
+
 def test_gradients():
     net = toxicity.Network()
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
