@@ -26,6 +26,9 @@ SUPPORT = 0.5
 #: Bytes of templates that may be broadcast; beyond, pages and templates meet in a shuffle.
 BROADCAST_BYTES = 8_000_000
 
+#: Elements of a path that are named: a deeper element goes by the path of its ancestor there.
+NAMED = 200
+
 #: HTML's elements without content, with raw content, and those that make no block of their own.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe svg math object canvas select".split())
@@ -53,7 +56,8 @@ def _name(tag: str, attrs: str) -> tuple[str, bool]:
 
 def blocks(page: str) -> tuple[list[tuple[tuple[str, ...], bool, str]], Counter]:
     """(path, outside, text) of each block of text in order, and how often each path was opened."""
-    out, opened, stack, text = [], Counter(), [], []
+    out, opened, stack, text = [], Counter(), [((), (), False)], []  # an open element: tag, path, whether it or one around it stands outside
+    standing = Counter()  # how many elements of a tag are open
     at, end = 0, len(page)
 
     def flush():
@@ -61,11 +65,14 @@ def blocks(page: str) -> tuple[list[tuple[tuple[str, ...], bool, str]], Counter]
             said = " ".join(html.unescape("".join(text)).split())
             text.clear()
             if said:
-                out.append((tuple(x[1] for x in stack), any(x[2] for x in stack), said))
+                out.append((stack[-1][1], stack[-1][2], said))
 
     def close(tags, scope=()):
-        for k in range(len(stack) - 1, -1, -1):
+        if not any(standing[t] for t in tags):
+            return
+        for k in range(len(stack) - 1, 0, -1):
             if stack[k][0] in tags:
+                standing.subtract(x[0] for x in stack[k:])
                 del stack[k:]
                 return
             if stack[k][0] in scope:
@@ -100,14 +107,16 @@ def blocks(page: str) -> tuple[list[tuple[tuple[str, ...], bool, str]], Counter]
             continue
         flush()
         if closing:
-            if tag in {x[0] for x in stack}:
-                close({tag})
+            close({tag})
         elif tag not in VOID:
             close(_SELF.get(tag, {"p"} if tag not in ("html", "body") else ()), _SCOPE.get(tag, ()) if tag in _SCOPE else ("article", "main", "section", "div", "td", "li", "body", "blockquote"))
-            if len(stack) < 200:
-                name, outside = _name(tag, m[3])
-                stack.append((tag, name, outside))
-                opened[tuple(x[1] for x in stack)] += 1
+            name, outside = _name(tag, m[3])
+            path = stack[-1][1]
+            if len(path) < NAMED:
+                path = (*path, name)
+                opened[path] += 1
+            stack.append((tag, path, outside or stack[-1][2]))
+            standing[tag] += 1
     flush()
     return out, opened
 

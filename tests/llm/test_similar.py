@@ -168,6 +168,15 @@ def test_articles_with_ids_of_their_own(spark):
     assert extracted(spark, [page % ((i,) * 6) for i in range(4)]) == {i: f"Text {i} goes on." for i in range(4)}
 
 
+def test_depth_changes_nothing():
+    deep = "<div>" * 300
+    page = f"<body><article>{deep}<p>In it.</p><nav>Menu</nav><article>Card</article>{'</div>' * 300}<p>The rest.</p></article><footer>Foot</footer></body>"
+    found, _ = pages.blocks(page)
+    assert [(path[:2], said) for path, outside, said in found if not outside] == [(("body", "article"), x) for x in ("In it.", "Card", "The rest.")]
+    assert pages.main_text(page, "body>article") == "In it.\nCard\nThe rest."
+    assert len(pages.blocks("<div>x" * 100_000)[0]) == 100_000
+
+
 def test_gradients():
     net = toxicity.Network()
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
