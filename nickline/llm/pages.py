@@ -1,9 +1,9 @@
 """Main text of web pages by deducing each host's template.
 
-A page is tokenised into its block elements, each named by its path.  Tokens whose occurrence vectors (their counts on each page
-of the host) are equal form a class; classes that occur once on each page that has them are containers, and repeated ones nest
-in the containers whose paths they extend.  The containers are the template; the text between them fills its slots, and the
-slot of the article is the main text.
+A page is tokenised into its block elements, each named by its path, and its blocks of text, word for word.  Tokens whose occurrence
+vectors (their counts on each page of the host) are equal form a class.  A text nests in the elements around it; if one of them is in
+its class, the text stands wherever the element does and is template too.  Of the elements, the article's is chosen by tag names,
+class words and how much text it holds; what it holds, less the template's text, is the main text.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from .common import packed, per_text, saved, small_batches, table
 
 #: Tokens of a template occur on at least this share of the host's pages.
 SUPPORT = 0.5
+#: Pages of a host, different ones, that a text must stand on to be the template's: two may share a quotation.
+TEXT_PAGES = 3
 #: Bytes of templates that may be broadcast; beyond, pages and templates meet in a shuffle.
 BROADCAST_BYTES = 8_000_000
 
@@ -126,48 +128,56 @@ def host_of(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1), F.lit("")))
 
 
+def _text_hash(path: str, said: str) -> int:
+    return int.from_bytes(hashlib.blake2b(f"{path}\0{said}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
 def _observed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """host, token, outside, pages, total, print, chars: a task's tokens, summed a batch at a time."""
+    """host, token, text, pages, total, print, chars: a task's tokens, summed a batch at a time; text is a hash, null for elements."""
     for batch in batches:
         sums: dict = {}
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             found, opened = blocks(page)
-            chars, outside = Counter(), set()
+            chars, said_at = Counter(), Counter()
             for path, out, said in found:
                 if out:
                     continue
+                at = ">".join(path)
+                said_at[at, _text_hash(at, said)] += 1
                 for k in range(1, len(path) + 1):
                     chars[path[:k]] += len(said)
             mark = int.from_bytes(hashlib.blake2b(page.encode("utf-8", "surrogatepass"), digest_size=7).digest(), "little")
             opened[()] = 1
             chars[()] = sum(len(x[2]) for x in found if not x[1])
-            for path, n in opened.items():
-                s = sums.setdefault((host, ">".join(path)), [0, 0, 0, 0])
+            tokens = [(">".join(path), None, n, chars[path]) for path, n in opened.items()]
+            for token, text, n, c in tokens + [(at, text, n, 0) for (at, text), n in said_at.items()]:
+                s = sums.setdefault((host, token, text), [0, 0, 0, 0])
                 s[0] += 1
                 s[1] += n
                 s[2] = (s[2] + n * mark) & 0x7FFF_FFFF_FFFF
-                s[3] += chars[path]
+                s[3] += c
         if sums:
-            yield pa.RecordBatch.from_pylist([{"host": h, "token": t, "pages": s[0], "total": s[1], "print": s[2], "chars": s[3]} for (h, t), s in sums.items()], _SEEN)
+            yield pa.RecordBatch.from_pylist([{"host": h, "token": t, "text": x, "pages": s[0], "total": s[1], "print": s[2], "chars": s[3]} for (h, t, x), s in sums.items()], _SEEN)
 
 
-_SEEN = pa.schema([("host", pa.string()), ("token", pa.string()), ("pages", pa.int64()), ("total", pa.int64()), ("print", pa.int64()), ("chars", pa.int64())])
+_SEEN = pa.schema([("host", pa.string()), ("token", pa.string()), ("text", pa.int64()), ("pages", pa.int64()), ("total", pa.int64()), ("print", pa.int64()), ("chars", pa.int64())])
 
 
 def templates(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
-    """host, classes: each host's classes of tokens with equal occurrence vectors, as (once, tokens), a token as (token, chars).
+    """host, classes: each host's classes of tokens with equal occurrence vectors, as (once, tokens), a token as (token, chars, text).
 
-    An occurrence vector is kept as a sum over pages, so that it adds up before the shuffle and a host with a third of all
+    Equal pages of a host are one.  An occurrence vector is kept as a sum over pages, so that it adds up before the shuffle and a host with a third of all
     pages sends each task's sums only.  Tokens of under half of the host's pages belong to no template.
     """
     spark = pages.sparkSession
     small_batches(spark)
-    rows = pages.select(host_of(F.col(f"`{url}`")).alias("host"), F.coalesce(F.col(f"`{page}`"), F.lit("")).alias("page"))
-    seen = rows.mapInArrow(_observed, "host string, token string, pages bigint, total bigint, print bigint, chars bigint")
-    seen = saved(seen.groupBy("host", "token").agg(*[F.sum(c).alias(c) for c in ("pages", "total", "print", "chars")]), "tokens")
-    known = seen.groupBy("host").agg(F.max(F.when(F.col("token") == "", F.col("pages"))).alias("all"))
+    rows = pages.select(host_of(F.col(f"`{url}`")).alias("host"), F.coalesce(F.col(f"`{page}`"), F.lit("")).alias("page")).distinct()
+    seen = rows.mapInArrow(_observed, "host string, token string, text bigint, pages bigint, total bigint, print bigint, chars bigint")
+    seen = seen.groupBy("host", "token", "text").agg(*[F.sum(c).alias(c) for c in ("pages", "total", "print", "chars")])
+    seen = saved(seen.filter(F.col("text").isNull() | (F.col("pages") >= TEXT_PAGES)), "tokens")
+    known = seen.groupBy("host").agg(F.max(F.when((F.col("token") == "") & F.col("text").isNull(), F.col("pages"))).alias("all"))
     lasting = seen.join(known, "host").filter(F.col("pages") >= SUPPORT * F.col("all"))
-    classes = lasting.groupBy("host", "pages", "total", "print").agg(F.sort_array(F.collect_list(F.struct("token", "chars"))).alias("tokens"))
+    classes = lasting.groupBy("host", "pages", "total", "print").agg(F.sort_array(F.collect_list(F.struct("token", "chars", "text"))).alias("tokens"))
     return classes.groupBy("host").agg(F.sort_array(F.collect_list(F.struct((F.col("pages") == F.col("total")).alias("once"), "tokens"))).alias("classes"))
 
 
@@ -177,7 +187,7 @@ def slot(classes: list[dict]) -> str:
     That is the article or main element that holds most, the outermost of equals, if the template has one; else the innermost container,
     outside menus and the like, that itself holds most of the host's text.
     """
-    tokens = [(t["token"], c["once"], t["chars"]) for c in classes for t in c["tokens"]]
+    tokens = [(t["token"], c["once"], t["chars"]) for c in classes for t in c["tokens"] if t.get("text") is None]
     inside = [x for x in tokens if x[0] and not any(_outside(p) for p in x[0].split(">"))]
     named = [(-c, t.count(">"), t) for t, _, c in inside if _is_main(t.rpartition(">")[2])]
     if named:
@@ -187,6 +197,19 @@ def slot(classes: list[dict]) -> str:
     return max(held, key=lambda t: (t.count(">"), t), default="")
 
 
+def repeated(classes: list[dict]) -> frozenset[int]:
+    """The hashes of the template's texts: those with an element around them in their class."""
+    out = set()
+    for c in classes:
+        around = {t["token"] for t in c["tokens"] if t.get("text") is None}
+        for t in c["tokens"]:
+            if t.get("text") is not None and around:
+                parts = t["token"].split(">")
+                if any(">".join(parts[:k]) in around for k in range(len(parts) + 1)):
+                    out.add(t["text"])
+    return frozenset(out)
+
+
 def _is_main(name: str) -> bool:
     tag = re.match(r"[^.#@]*", name)[0]
     return tag in ("article", "main") or name.endswith("@main")
@@ -204,11 +227,14 @@ def _outside(name: str) -> bool:
     return _outside_cache[name]
 
 
-def main_text(page: str, where: str) -> str:
-    """The text in the slot `where`.  A page without that container is its own template."""
+def main_text(page: str, where: str, template: frozenset[int] = frozenset()) -> str:
+    """The text in the slot `where` without the template's texts.  A page without that container is its own template.
+
+    Where nothing else stands in the slot, it is kept whole: the host's pages are copies of one article.
+    """
     found, opened = blocks(page)
     kept = [(">".join(path), said) for path, outside, said in found if not outside]
-    inner = [said for path, said in kept if where and (path == where or path.startswith(where + ">"))]
+    inner = [x for x in kept if where and (x[0] == where or x[0].startswith(where + ">"))]
     if not inner:
         chars = Counter()
         for path, said in kept:
@@ -216,33 +242,37 @@ def main_text(page: str, where: str) -> str:
             for k in range(len(parts) + 1):
                 chars[">".join(parts[:k])] += len(said)
         own = slot([{"once": n == 1, "tokens": [{"token": t, "chars": chars[t]}]} for t, n in [("", 1), *((">".join(p), n) for p, n in opened.items())]])
-        inner = [said for path, said in kept if not own or path == own or path.startswith(own + ">")]
-    return "\n".join(inner)
+        inner = [x for x in kept if not own or x[0] == own or x[0].startswith(own + ">")]
+    if template:
+        inner = [x for x in inner if _text_hash(*x) not in template] or inner
+    return "\n".join(said for _, said in inner)
 
 
-_slots: dict[str, str] = {}
+_slots: dict[str, tuple[str, frozenset[int]]] = {}
 
 
-def _slot_of(template: str | None) -> str:
+def _slot_of(template: str | None) -> tuple[str, frozenset[int]]:
+    """The slot and the texts of a template."""
     if not template:
-        return ""
+        return "", frozenset()
     if template not in _slots:
         if len(_slots) > 1000:
             _slots.clear()
-        _slots[template] = slot(json.loads(template))
+        classes = json.loads(template)
+        _slots[template] = slot(classes), repeated(classes)
     return _slots[template]
 
 
 def _extracted(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     for page, template in batches:
-        yield pa.array([main_text(p or "", _slot_of(t)) for p, t in zip(page.to_pylist(), template.to_pylist())], pa.string())
+        yield pa.array([main_text(p or "", *_slot_of(t)) for p, t in zip(page.to_pylist(), template.to_pylist())], pa.string())
 
 
 def extract(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
     """Each row of pages as the struct `row`, with text, its main text.
 
     Null html is empty and gives an empty text.  Null urls share the empty host.  Repeated rows give equal texts; they count
-    for the template as often as they stand.  A host's only page is its own template.  An empty table gives an empty result.
+    for the template once.  A host's only page is its own template.  An empty table gives an empty result.
     Templates are broadcast behind a check of their size; larger ones meet the pages in a join by host.
     """
     spark = pages.sparkSession

@@ -177,6 +177,20 @@ def test_depth_changes_nothing():
     assert len(pages.blocks("<div>x" * 100_000)[0]) == 100_000
 
 
+def test_texts_of_the_template_are_taken_out(spark):
+    notice = "<div class=x1><p>Neutral notice of the host</p></div>"
+    page = "<body><main><h1>T%d</h1>" + notice + "<p>Text %d.</p><p>Said by some.</p><div class=q7><p>Comment by its reader</p></div></main></body>"
+    some = "<body><main><h1>T9</h1>" + notice + "<p>Text 9.</p></main></body>"
+    got = extracted(spark, [page % (i, i) for i in range(4)] + [some])
+    # in the class of an element around it: the notice on all pages, the comment box on most; a sentence that only some pages share isn't
+    assert got == {**{i: f"T{i}\nText {i}.\nSaid by some." for i in range(4)}, 4: "T9\nText 9."}
+
+
+def test_copies_of_one_page_are_not_template(spark):
+    page = "<body><script>%d</script><main><h1>T</h1><p>Text.</p></main></body>"
+    assert set(extracted(spark, [page % 1] * 4).values()) == set(extracted(spark, [page % i for i in range(4)]).values()) == {"T\nText."}
+
+
 def test_gradients():
     net = toxicity.Network()
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
