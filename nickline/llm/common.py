@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -18,19 +17,38 @@ BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, set here only where it is unset."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir.
+
+    Where it is unset, a local session gets a temporary folder of its own; on a cluster that is an error, as executors can't read the driver's.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="nickline-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
+#: Deletes a write's shuffle files when the write has ended, and not when the driver's garbage happens to be collected.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet to the shared folder and read again, so that its lineage is cut."""
+    """df, written as Parquet to the shared folder and read again, so that its lineage is cut.
+
+    What nothing reads any more is deleted by drop(); the rest, which results still read, goes when the session's file system closes.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/nickline/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression="zstd")
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path, compression="zstd")
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -43,12 +61,6 @@ def drop(*frames: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of frames that are no longer held, which it does when the driver's garbage is collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Python workers know this package and get at most so many rows at a time."""
     ship(spark)
