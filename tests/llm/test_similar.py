@@ -195,18 +195,43 @@ def test_gradients():
     net = toxicity.Network()
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
     rng = np.random.default_rng(1)
-    x, mask, y = rng.normal(size=(5, toxicity.WINDOW, toxicity.INPUTS)), np.ones((5, toxicity.WINDOW)), np.array([0, 1, 1, 0, 1.0])
+    net.p["E"] = rng.normal(size=net.p["E"].shape)
+    said = toxicity.Words("some words of a text, été some of them again and again; longer ones too".encode())
+    rows = np.where(rng.random((len(said.keys), 2)) < 0.3, -1, said.buckets())
+    at, mask, y = rng.integers(0, len(said.keys), (5, toxicity.WINDOW)), np.ones((5, toxicity.WINDOW)), np.array([0, 1, 1, 0, 1.0])
     mask[2, 7:] = 0
-    _, grads = net.gradients(x, mask, y)
+    _, grads = net.gradients(rows, said.data, said.first, at, mask, y)
+    assert set(grads) == set(net.p)
     for name, g in grads.items():
-        at = tuple(rng.integers(0, s) for s in g.shape)
-        old = net.p[name][at]
-        net.p[name][at] = old + 1e-5
-        up, _ = net.gradients(x, mask, y)
-        net.p[name][at] = old - 1e-5
-        down, _ = net.gradients(x, mask, y)
-        net.p[name][at] = old
-        assert (up - down) / 2e-5 == pytest.approx(g[at], rel=1e-3, abs=1e-8)
+        for spot in (tuple(rng.integers(0, s) for s in g.shape), np.unravel_index(np.abs(g).argmax(), g.shape)):
+            old = net.p[name][spot]
+            net.p[name][spot] = old + 1e-5
+            up, _ = net.gradients(rows, said.data, said.first, at, mask, y)
+            net.p[name][spot] = old - 1e-5
+            down, _ = net.gradients(rows, said.data, said.first, at, mask, y)
+            net.p[name][spot] = old
+            assert (up - down) / 2e-5 == pytest.approx(g[spot], rel=1e-3, abs=1e-8)
+
+
+def test_words_and_filters_against_plain_loops():
+    text = "Ab ab été  x9y — abcdefgh, ab; zzzzzz".lower()
+    said = toxicity.Words(text.encode())
+    plain = [w for w in "".join(chr(b) if 97 <= b <= 122 or b >= 128 else " " for b in text.encode()).split()]
+    assert len(said) == len(plain) and len(said.keys) == len(set(plain))
+    for i, w in enumerate(plain):
+        k = said.kind[i]
+        assert bytes(said.data[said.first[k] : said.first[k] + said.sizes()[k]]) == w.encode("latin-1")
+        assert all((said.kind[i] == said.kind[j]) == (w == v) for j, v in enumerate(plain))
+    filters = np.random.default_rng(3).normal(size=(toxicity.REACH, 256, 4))
+    most, where = toxicity.filtered(filters, said.data, said.first, True)
+    assert np.allclose(most, toxicity.filtered(filters, said.data, said.first))
+    for i, w in enumerate(plain):
+        padded = b"\0\0" + w.encode("latin-1") + b"\0\0"
+        found = np.array([sum(filters[k][padded[j + k]] * (padded[j + k] > 0 or True) for k in range(toxicity.REACH)) for j in range(len(w))])
+        assert np.allclose(found.max(0), most[said.kind[i]])
+        assert (where[said.kind[i]] - said.first[said.kind[i]] == found.argmax(0)).all()
+    data, first = toxicity.part(said, np.array([1, 0]))
+    assert np.allclose(toxicity.filtered(filters, data, first), most[[1, 0]])
 
 
 def test_windows_cover_all_words():
@@ -239,6 +264,25 @@ def test_toxicity(spark):
     kept = toxicity.clean(docs, labels)
     assert kept.columns == docs.columns and 220 <= kept.count() <= 240
     assert {r.row.doc_id: r.score for r in toxicity.score(docs, toxicity.learn(docs, labels)).collect()} == got
+    # a model sees no label, and texts alone make a score
+    again = toxicity.score(docs.selectExpr("doc_id + 1000 as doc_id", "text"), model).collect()
+    assert {r.row.doc_id - 1000 if r.row.doc_id else None: r.score for r in again} == got
+
+
+def test_ids_of_any_type_and_repeated_ids(spark):
+    rows = [(f"id-{i}", t, y) for i, t, y in corpus(120)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [("id-7", f"other text {k}") for k in range(50)], "doc_id string, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id string, toxic long")
+    one, two = (toxicity.learn(d, labels, rows=40) for d in (docs, docs.repartition(5)))
+    assert one["slope"] == two["slope"] and all((one["weights"][k] == two["weights"][k]).all() for k in one["weights"])
+
+
+@tables
+def test_predictions_follow_from_scores_and_ids(spark):
+    got = toxicity.op1_toxicity(spark, FOLDER).collect()
+    assert len(got) == spark.read.parquet(f"{FOLDER}/documents.parquet").count()
+    for r in got:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.5) and 0 <= r.score <= 1
 
 
 def test_toxicity_without_labels(spark):
