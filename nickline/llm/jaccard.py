@@ -17,14 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import packed, per_text, saved, small_batches, table, texts
+from .common import drop, packed, per_text, saved, small_batches, table, texts
 
 #: A-Z in lower case; white space is a space; all else stays.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if c in (9, 10, 11, 12, 13) else c for c in range(256))
 BITS = 4096
 LEAF = 16
-#: Shingles of the classes that one task compares at most, about; a larger group is dealt out in blocks, and pairs of blocks are tasks.
-BLOCK = 1_000_000
+#: Shingles of the classes that one task compares at most, about; a larger group is dealt out in blocks, and pairs of blocks are tasks where blocks stay apart.
+BLOCK = 100_000
 #: Sizes of the differences that parts are made for: the next is larger by so much.
 LEVEL = 1.3
 #: Shingles that this many texts of a sample of at most so many have are frequent, the commonest first.  Any such list gives the same result;
@@ -166,7 +166,11 @@ def _sketches(k: int):
 
 
 def _signed(k: int, t: Fraction, handle):
-    """(sign, vertex) of each text, once for a class in a task as far as it remembers."""
+    """(sign, v, u) of each text, once for a class in a task as far as it remembers.
+
+    Of the vertices with one signature that a task has at hand only the first is sent by it; the others are sent as edges to the first (u), dealt out by
+    themselves, so a signature of very many texts comes but a few times from each task.
+    """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = handle.value
@@ -211,7 +215,16 @@ def frequent_shingles(rows: DataFrame, k: int, n: int) -> np.ndarray:
 
 
 def _pairs(signs, owners) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(signs).view(np.int64)), pa.array(np.concatenate(owners))], names=["sign", "v"])
+    sign, v = np.concatenate(signs).view(np.int64), np.concatenate(owners).astype(np.int64)
+    order = np.lexsort((v, sign))
+    sign, v = sign[order], v[order]
+    first = np.flatnonzero(np.concatenate([[True], sign[1:] != sign[:-1]]))
+    head = np.repeat(v[first], np.diff(np.append(first, len(sign))))
+    edge = v != head
+    once = np.ones(len(v), bool)
+    once[1:] = (sign[1:] != sign[:-1]) | (v[1:] != v[:-1])
+    sign = np.where(edge, v, sign)
+    return pa.RecordBatch.from_arrays([pa.array(sign[once]), pa.array(v[once]), pa.array(head[once], mask=~edge[once])], names=["sign", "v", "u"])
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
@@ -220,18 +233,22 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     Every vertex takes the smallest label around it, then its label's label, until nothing changes; each round is written to the shared folder.
     The smallest label is pre-aggregated before each shuffle.
     """
-    both = saved(edges.filter("u <> v").select("u", "v").unionByName(edges.filter("u <> v").select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), name)
-    labels = saved(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("c")).select(F.col("u").alias("v"), "c"), name)
+    both = edges.filter("u <> v").select("u", "v").unionByName(edges.filter("u <> v").select(F.col("v").alias("u"), F.col("u").alias("v")))
+    both = saved(both.distinct(), name)
+    step = saved(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("c")).select(F.col("u").alias("v"), "c"), name)
     while True:
-        near = both.join(labels, "v").groupBy("u").agg(F.min("c").alias("near"))
-        step = labels.join(near.withColumnRenamed("u", "v"), "v").select("v", F.least("c", "near").alias("c"), F.col("c").alias("old"))
-        over = step.groupBy("old").agg(F.min("c").alias("hook"))  # what one vertex of a label learns, all learn
-        step = step.join(over, "old").select("v", F.least("c", "hook").alias("c"), "old")
-        up = step.select(F.col("v").alias("r_v"), F.col("c").alias("up"))
-        step = saved(step.join(up, F.col("c") == F.col("r_v"), "left").select("v", F.least("c", F.coalesce("up", "c")).alias("c"), "old"), name)
         labels = step.select("v", "c")
+        near = both.join(labels, "v").groupBy("u").agg(F.min("c").alias("near"))
+        new = labels.join(near.withColumnRenamed("u", "v"), "v").select("v", F.least("c", "near").alias("c"), F.col("c").alias("old"))
+        over = new.groupBy("old").agg(F.min("c").alias("hook"))  # what one vertex of a label learns, all learn
+        new = new.join(over, "old").select("v", F.least("c", "hook").alias("c"), "old")
+        up = new.select(F.col("v").alias("r_v"), F.col("c").alias("up"))
+        new = saved(new.join(up, F.col("c") == F.col("r_v"), "left").select("v", F.least("c", F.coalesce("up", "c")).alias("c"), "old"), name)
+        drop(step)
+        step = new
         if step.filter("c <> old").isEmpty():
-            return labels
+            drop(both)
+            return step.select("v", "c")
 
 
 class Tree:
@@ -349,23 +366,72 @@ def classes_of(docs: DataFrame, doc_id: str, text: str, k: int, t: Fraction) ->
 
     some = rows.filter("text is not null").select("text")
     handle = spark.sparkContext.broadcast(frequent_shingles(some, k, sketch.count()))
-    signs = some.mapInArrow(_signed(k, t, handle), "sign bigint, v bigint")
-    near = signs.withColumn("u", F.lag("v").over(Window.partitionBy("sign").orderBy("v"))).filter("u <> v").select("u", "v")
+    signs = some.mapInArrow(_signed(k, t, handle), "sign bigint, v bigint, u bigint")
+    before = F.lag("v").over(Window.partitionBy("sign").orderBy("v"))
+    near = signs.select(F.coalesce("u", before).alias("u"), "v").filter("u <> v")
     near = saved(near.distinct(), "near")
-    del signs
     coarse = components(near, "coarse")
 
     # one text of each class, and the group it belongs to
     heads = sketch.join(coarse, "v").groupBy("key").agg(F.min_by(F.struct("doc_id"), F.struct("doc_id")).alias("head"), F.max("n").alias("n"), F.max("c").alias("c"))
     heads = saved(heads.select("key", "head.doc_id", "n", "c"), "heads")
-    blocks = heads.groupBy("c").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("classes")).filter("classes > 1")
-    needed = heads.join(blocks, "c").select(F.col("doc_id").alias("r_id"), "key", "c", F.pmod(F.hash("key"), "blocks").alias("block"), "blocks")
-    # texts are shuffled at every size: the needed ids grow with the input, so they aren't broadcast where they happen to be few
-    chosen = rows.filter("text is not null").join(needed.hint("merge"), F.col("doc_id").eqNullSafe(F.col("r_id")))
-    chosen = chosen.select("c", "text", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("x"), F.greatest("block", o).alias("y")))).alias("pair"), F.col("block").alias("part"))
-    linked = saved(chosen.groupBy("c", "pair").applyInArrow(_linker(k, t), "u string, v string"), "links")
-    del chosen
-    return sketch, components(linked, "linked").withColumnRenamed("v", "key")
+    drop(near, coarse)
+    found = _linked(rows.filter("text is not null"), heads, k, t)
+    out = components(found, "linked").withColumnRenamed("v", "key")
+    drop(heads, found)
+    return sketch, out
+
+
+def _dealt(heads: DataFrame) -> DataFrame:
+    """Classes of groups of several with their block among their group's blocks, each of about BLOCK shingles."""
+    size = heads.groupBy("c").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("classes")).filter("classes > 1")
+    return heads.join(size.hint("merge"), "c").withColumn("block", F.pmod(F.hash("key"), "blocks"))
+
+
+def _linked(rows: DataFrame, heads: DataFrame, k: int, t: Fraction) -> DataFrame:
+    """Links (u, v) that join all classes of heads (key, doc_id, n, c) which links connect.
+
+    First each block of a group is searched for itself.  Of groups of several blocks one class of each component is compared next, which joins most near
+    copies; where components still stand apart, pairs of blocks are searched for links between them.  So the work on one giant group of
+    near copies grows with its size, and no link that would join components is lost.
+    """
+
+    def search(needed: DataFrame, name: str) -> DataFrame:
+        """needed: key, doc_id, c, task, part."""
+        needed = needed.select(F.col("doc_id").alias("r_id"), "c", "task", "part")
+        # texts are shuffled at every size: the needed ids grow with the input, so they aren't broadcast where they happen to be few
+        chosen = rows.join(needed.hint("merge"), F.col("doc_id").eqNullSafe(F.col("r_id"))).select("c", "task", "part", "text")
+        return saved(chosen.groupBy("c", "task").applyInArrow(_linker(k, t), "u string, v string"), name)
+
+    one = F.lit("").alias("part")
+    dealt = saved(_dealt(heads), "dealt")
+    links = search(dealt.select("key", "doc_id", "c", F.col("block").cast("string").alias("task"), one), "links")
+    large = dealt.filter("blocks > 1")
+    if large.isEmpty():
+        drop(dealt)
+        return links
+
+    def grouped(links: DataFrame) -> DataFrame:
+        """The classes of the large groups with their component so far, and whether the group has several."""
+        label = components(links, "part").select(F.col("v").alias("key"), F.col("c").alias("part"))
+        out = large.join(label, "key", "left").withColumn("part", F.coalesce("part", "key"))
+        several = out.groupBy("c").agg((F.min("part") != F.max("part")).alias("apart"))
+        return saved(out.join(several.hint("merge"), "c").filter("apart"), "grouped")
+
+    apart = grouped(links)
+    if not apart.isEmpty():
+        least = F.min_by(F.struct("key", "doc_id", "n"), "key").alias("head")
+        heads_of = _dealt(apart.groupBy("c", "part").agg(least).select("head.*", "c"))
+        more = search(heads_of.select("key", "doc_id", "c", F.col("block").cast("string").alias("task"), one), "links")
+        links = saved(links.unionByName(more), "links")
+        drop(apart, more)
+        apart = grouped(links)
+    if not apart.isEmpty():
+        other = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.concat_ws("-", F.least("block", o).cast("string"), F.greatest("block", o).cast("string")))
+        pairs = apart.withColumn("task", F.explode(F.array_remove(other, F.concat_ws("-", F.col("block").cast("string"), F.col("block").cast("string")))))
+        links = saved(links.unionByName(search(pairs, "links")), "links")
+    drop(apart, dealt)
+    return links
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 3, similarity: Fraction = Fraction(9, 10)) -> DataFrame:
@@ -384,7 +450,11 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 3
 
 
 def distinct(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, similarity: Fraction = Fraction(8, 10)) -> DataFrame:
-    """docs with one row of each component: that with the smallest doc_id (of repeated rows, one).  Rows without words all stay."""
+    """docs with one row of each component: that with the smallest doc_id; of several rows of this id, that of the smallest text hash.
+
+    Rows without words (null, empty, blank) all stay; of rows equal in all columns one stays.  An empty table gives an empty result; columns keep
+    their names and kinds, whatever they are.
+    """
     sketch, linked = classes_of(docs, doc_id, text, k, similarity)
     found = sketch.filter("n > 0").join(linked, "key", "left").select("doc_id", "key", F.coalesce("c", "key").alias("c"))
     keep = found.groupBy("c").agg(F.min_by(F.struct("doc_id", "key"), F.struct("doc_id", "key")).alias("one")).select(F.col("one.doc_id").alias("r_id"), F.col("one.key").alias("r_key"))
@@ -392,8 +462,8 @@ def distinct(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
     rows = packed(docs).withColumn("s", per_text(_sketches(k), "struct<n: bigint, a: bigint, b: bigint>")(F.col(f"row.`{text}`")))
     rows = rows.select("row", F.col("s.n").alias("n"), _hex("s.a", "s.b").alias("key"), F.col(f"row.`{doc_id}`").alias("id"))
     kept = rows.filter("n > 0").join(keep, F.col("id").eqNullSafe(F.col("r_id")) & (F.col("key") == F.col("r_key")))
-    once = Window.partitionBy("id", "key").orderBy(F.lit(0))
-    kept = kept.withColumn("nr", F.row_number().over(once)).filter("nr = 1")
+    first = F.struct(F.xxhash64(F.col(f"row.`{text}`")), F.xxhash64(*[F.col(f"row.`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]))
+    kept = kept.groupBy("id", "key").agg(F.min_by("row", first).alias("row"))
     return kept.select("row.*").unionByName(rows.filter("n = 0").select("row.*"))
 
 

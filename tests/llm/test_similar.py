@@ -69,6 +69,33 @@ def test_join(spark, monkeypatch, k, t, block):
     assert kept.columns == docs.columns and kept.count() == groups
 
 
+def test_a_large_group_in_blocks_and_a_chain_across_them(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 60)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(30)]
+    near = [" ".join(w if rng.random() > 0.02 else rng.choice("xyz") for w in base) for _ in range(60)]
+    chain = [" ".join(f"c{j}" for j in range(i, i + 30)) for i in range(30)]  # each links with the next only
+    rows = list(enumerate(near + chain + [" ".join(rng.sample(base, 12)) for _ in range(30)]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    t = Fraction(8, 10)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join(docs, k=3, similarity=t).collect())
+    assert got == sorted(plain_join(rows, 3, t)[0])
+
+
+def test_a_row_of_the_smallest_id_is_kept_whatever_the_order(spark):
+    rows = [(1, "A B c d e f", 1), (1, "a b c d e f", 2), (2, "a b c d e f", 3), (1, "a b c d e f", 4)]
+    kept = {tuple(jaccard.distinct(spark.createDataFrame(x, "doc_id long, text string, row int").repartition(n)).collect()[0]) for x in (rows, rows[::-1]) for n in (1, 3)}
+    assert len(kept) == 1 and next(iter(kept))[0] == 1
+
+
+def test_very_long_texts_and_one_text_in_many_rows(spark):
+    rng = random.Random(9)
+    long = " ".join(rng.choice("abcdefghij") + str(rng.randrange(99)) for _ in range(60_000))
+    rows = [(1, long), (2, long + " end"), (3, "end " + long.upper())] + [(i, "same text of some words") for i in range(10, 200)]
+    got = {r.doc_id: r.component_id for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, **dict.fromkeys(range(10, 200), 10)}
+
+
 def test_join_of_nothing(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard.join(docs).count() == 0 and jaccard.distinct(docs).count() == 0
