@@ -1,4 +1,4 @@
-"""Benchmark decontamination with one Aho-Corasick automaton.
+"""Benchmark decontamination with one Aho-Corasick automaton (for each block of a benchmark too large for one).
 
 The automaton holds every window of 13 consecutive words of every benchmark item (an item of fewer words is one window).
 A text is normalised to its words between single spaces, scanned once, and every occurrence is mapped back to word
@@ -16,11 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, alnum_words, packed, per_text, small_batches, table, texts
+from .common import ALNUM, alnum_words, drop, packed, per_text, saved, small_batches, table, texts
 
 WINDOW = 13
-#: Words of the items that share one automaton; a larger benchmark is scanned in blocks of so many words, one after another.
-BLOCK_WORDS = 2_000_000
+#: Characters of the windows that share one automaton, which has no more nodes; a larger benchmark is scanned in blocks, one after another.
+#: 4,200,000 nodes took 168 MB.
+BLOCK_NODES = 6_000_000
 
 _built: dict = {}
 
@@ -109,40 +110,57 @@ def _scanner(handle, window: int, offsets: bool):
     return per_text(scan, SCHEMA)
 
 
-def _blocks(benchmark: DataFrame, item_id: str, text: str, words: int) -> Iterator[list[tuple[str, bytes]]]:
+def _blocks(benchmark: DataFrame, item_id: str, text: str, window: int, nodes: int) -> Iterator[list[tuple[str, bytes]]]:
+    """The items in blocks whose windows have about so many characters; an item of more is cut into parts that overlap by a window less a word."""
     block, n = [], 0
     for k, t in benchmark.select(F.col(f"`{item_id}`").cast("string"), F.col(f"`{text}`")).orderBy(F.col(f"`{item_id}`")).toLocalIterator():
-        block.append((k if k is not None else "", (t or "").encode()))
-        n += len(block[-1][1]) // 4 + 1
-        if n >= words:
-            yield block
-            block, n = [], 0
+        words = alnum_words((t or "").encode())
+        size = np.cumsum([0, *(len(w) + 1 for w in words)])
+        at = 0
+        while at < len(words):
+            # windows from word `at` on, as many as the block still takes, one at least
+            starts = max(1, len(words) - window + 1)
+            cost = np.cumsum(size[np.minimum(np.arange(at, starts) + window, len(words))] - size[at:starts] + 1)
+            take = max(1, int(np.searchsorted(cost, nodes - n, "right")))
+            block.append((k if k is not None else "", b" ".join(words[at : at + take + window - 1])))
+            n += int(cost[min(take, len(cost)) - 1])
+            at += take
+            if at >= starts:
+                at = len(words)
+            if n >= nodes or at < len(words):
+                yield block
+                block, n = [], 0
     if block:
         yield block
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS, offsets: bool = True) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_nodes: int = BLOCK_NODES, offsets: bool = True) -> DataFrame:
     """Each row of docs as the struct `row`, with n_words, spans (of hit words), chars (the same in code points of the
     original) and items (ids as strings).
 
-    The automaton goes to the executors as items, a block of block_words words at a time; blocks are scanned one after
-    another and their spans united, so a benchmark of any size is searched whole without a shuffle.
+    The automaton goes to the executors as items, a block at a time.  Blocks are scanned one after another: what a block found is written
+    with the rows before the next one is sent, so a worker holds one automaton, whatever the benchmark's size, and no shuffle is needed.
     A null or empty text has no words.  Repeated rows and ids are scored each for itself; repeated items count once for
     each distinct id; items without words and an empty benchmark hit nothing.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    out = packed(docs)
-    parts = []
-    for k, block in enumerate(_blocks(benchmark, item_id, item_text, block_words)):
-        out = out.withColumn(f"found{k}", _scanner(spark.sparkContext.broadcast(block), window, offsets)(F.col(f"row.`{text}`")))
-        parts.append(F.col(f"found{k}"))
-    if not parts:
-        out = out.withColumn("found0", _scanner(spark.sparkContext.broadcast([]), window, offsets)(F.col(f"row.`{text}`")))
-        parts.append(F.col("found0"))
-    union = lambda name: parts[0][name] if len(parts) == 1 else _merged(F.flatten(F.array(*[p[name] for p in parts])))
-    items = parts[0]["items"] if len(parts) == 1 else F.flatten(F.array(*[p["items"] for p in parts]))
-    return out.select("row", parts[0]["n_words"].alias("n_words"), union("spans").alias("spans"), union("chars").alias("chars"), F.array_sort(F.array_distinct(items)).alias("items"))
+    out, last = packed(docs), None
+    blocks = _blocks(benchmark, item_id, item_text, window, block_nodes)
+    block, following = next(blocks, []), next(blocks, None)
+    while True:
+        found = out.withColumn("new", _scanner(spark.sparkContext.broadcast(block), window, offsets)(F.col(f"row.`{text}`")))
+        if last is not None:
+            both = [_merged(F.concat(f"found.{c}", f"new.{c}")).alias(c) for c in ("spans", "chars")]
+            found = found.select("row", F.struct(F.col("new.n_words").alias("n_words"), *both, F.concat("found.items", "new.items").alias("items")).alias("found"))
+        else:
+            found = found.withColumnRenamed("new", "found")
+        if following is None:
+            return found.select("row", "found.n_words", "found.spans", "found.chars", F.array_sort(F.array_distinct("found.items")).alias("items"))
+        out = saved(found, "scanned")
+        if last is not None:
+            drop(last)
+        last, block, following = out, following, next(blocks, None)
 
 
 def _merged(spans):
@@ -158,7 +176,7 @@ def _merged(spans):
 
 
 def judged(found: DataFrame) -> DataFrame:
-    """scan()'s rows with n_hit, n_items, items_sha256 and contaminated: at least a twentieth of the words are hit."""
+    """scan()'s rows with n_hit, n_items, items_sha256 and contaminated: at least a twentieth of the words are hit.  A text without words isn't."""
     n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, x: a + x["end"] - x["first"])
     return (
         found.withColumn("n_hit", n_hit)
@@ -175,7 +193,7 @@ def op5_decontaminate(spark, sf_dir: str) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of docs that aren't contaminated, with their own columns."""
+    """The rows of docs that aren't contaminated, with their own columns.  Null and empty texts and all rows against an empty benchmark stay; repeated rows share a fate."""
     return judged(scan(docs, benchmark, text, offsets=False)).filter(~F.col("contaminated")).select("row.*")
 
 

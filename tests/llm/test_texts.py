@@ -42,11 +42,11 @@ TEXTS = [
 ]
 
 
-@pytest.mark.parametrize("block", [decontaminate.BLOCK_WORDS, 4])
+@pytest.mark.parametrize("block", [decontaminate.BLOCK_NODES, 300])
 def test_decontamination(spark, block):
     docs = spark.createDataFrame([(i % 7, t, "x") for i, t in enumerate(TEXTS)] + [(None, "short one", "y")], "doc_id long, text string, n_words string")
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
-    got = decontaminate.judged(decontaminate.scan(docs, bench, block_words=block)).collect()
+    got = decontaminate.judged(decontaminate.scan(docs, bench, block_nodes=block)).collect()
     assert len(got) == len(TEXTS) + 1
     for r in got:
         n, hit, items = plain_hits(r.row.text, ITEMS)
@@ -57,6 +57,31 @@ def test_decontamination(spark, block):
             assert words(r.row.text[c.first : c.end]) == words(r.row.text)[s.first : s.end]
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 60), max_size=6), st.integers(1, 400))
+def test_blocks_hold_every_window_once(sizes, nodes):
+    class Rows:
+        def __getattr__(self, name):
+            return lambda *a: self
+
+        def toLocalIterator(self):
+            return iter([(str(i), " ".join(f"w{i}x{j}" for j in range(n))) for i, n in enumerate(sizes)])
+
+    import unittest.mock
+
+    with unittest.mock.patch.object(decontaminate, "F", unittest.mock.MagicMock()):
+        blocks = list(decontaminate._blocks(Rows(), "i", "t", 13, nodes))
+
+    def windows(items):
+        return [(k, tuple(w[i : i + 13])) for k, t in items for w in [t.split()] for i in range(max(1, len(w) - 12) if w else 0)]
+
+    plain = [(str(i), " ".join(f"w{i}x{j}" for j in range(n)).encode()) for i, n in enumerate(sizes)]
+    assert sorted(windows([x for b in blocks for x in b])) == sorted(windows(plain))
+    for b in blocks:
+        each = windows(b)
+        assert sum(sum(len(w) + 1 for w in x) + 1 for _, x in each[:-1]) <= nodes
+
+
 def test_no_benchmark_and_no_documents(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
