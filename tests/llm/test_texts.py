@@ -160,6 +160,31 @@ def test_licenses(spark):
     assert licenses.scan(docs.limit(0)).count() == 0
 
 
+def test_whole_notices_with_edits_and_long_texts(spark):
+    rng = random.Random(5)
+    rows, want = [], {}
+    for i, (label, text) in enumerate(licenses.TEMPLATES):
+        w = text.split()
+        if len(w) > 60:
+            for at in rng.sample(range(5, len(w) - 5), 3):
+                w[at] = "edited"
+        fill = " ".join(f"w{rng.randrange(10**6)}" for _ in range(20_000 if i == 1 else 30))
+        rows.append((i, f"{fill} {' '.join(w).upper()} {fill}"))
+        want[i] = label
+    rows.append((100, " ".join(licenses.TEMPLATES[1][1].split()[:40])))  # a third of a notice is none
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: got[i].labels for i in want} == want or all(want[i] in got[i].labels.split(",") for i in want)
+    assert "mit" in got[100].labels.split(",")  # but its first sentence is a template of its own
+    assert got[1].n_words > 40_000
+
+
+def test_many_templates_meet_in_a_shuffle(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "Licensed under CC BY-NC 4.0"), (2, None)], "doc_id long, text string")
+    want = sorted(map(str, licenses.scan(docs).collect()))
+    monkeypatch.setattr(licenses, "BROADCAST_GRAMS", 0)
+    assert sorted(map(str, licenses.scan(docs).collect())) == want
+
+
 # mixing
 
 
