@@ -55,19 +55,20 @@ def powers(n: int) -> np.ndarray:
     return _powers
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    """The 64-bit hashes of the text's words `[^\\x20\\x09-\\x0D]+`, in order."""
+def word_hashes(text: bytes, places: bool = False):
+    """The 64-bit hashes of the text's words `[^\\x20\\x09-\\x0D]+`, in order, and with places where each begins."""
     data = np.frombuffer(text.translate(FOLD), np.uint8)
     gap = np.concatenate([[True], data == 32, [True]])
     first, end = np.flatnonzero(~gap[1:] & gap[:-1]), np.flatnonzero(gap[1:] & ~gap[:-1])
     if not len(first):
-        return np.zeros(0, np.uint64)
+        return (np.zeros(0, np.uint64), first) if places else np.zeros(0, np.uint64)
     with np.errstate(over="ignore"):
         # a word's hash: its bytes times powers that start anew with each word
         place = np.arange(len(data)) - np.repeat(np.concatenate([first, [0]]), np.diff(np.concatenate([[0], first[1:], [len(data), len(data)]])))
         value = _BYTE[data] * powers(len(data) + 1)[np.maximum(place, 0)]
         sums = np.concatenate([[np.uint64(0)], np.cumsum(value)])
-        return mixed(sums[end] - sums[first] + (end - first).astype(np.uint64))
+        out = mixed(sums[end] - sums[first] + (end - first).astype(np.uint64))
+    return (out, first) if places else out
 
 
 def rolling(word: np.ndarray, k: int) -> np.ndarray:
