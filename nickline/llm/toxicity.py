@@ -86,6 +86,31 @@ class Words:
         within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
         self.data[np.repeat(self.first, size) + within] = raw[np.repeat(begin, size) + within]
 
+    @classmethod
+    def of(cls, data: list[bytes]) -> tuple[Words, np.ndarray]:
+        """The words of all of the texts, and where each text's begin (and the last one's end); worked on SLAB bytes at a time.  start isn't kept."""
+        parts, counts, i = [], [], 0
+        while i < len(data):
+            n, j = 0, i
+            while j < len(data) and (j == i or n + len(data[j]) <= SLAB):
+                n, j = n + len(data[j]) + 1, j + 1
+            one = cls(b" ".join(data[i:j]))
+            edge = np.searchsorted(one.start, np.concatenate([[0], np.cumsum([len(x) + 1 for x in data[i:j]])]) + 1)
+            counts.append(np.diff(edge))
+            parts.append(one)
+            i = j
+        out = cls(b"")
+        edges = np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int64) if parts else np.zeros(1, np.int64)
+        parts = [p for p in parts if len(p)]
+        if parts:
+            out.keys, one, kind = np.unique(np.concatenate([p.keys for p in parts]), return_index=True, return_inverse=True)
+            at = np.cumsum([0, *(len(p.keys) for p in parts)])
+            out.kind = np.concatenate([kind[a + p.kind] for a, p in zip(at, parts)]).astype(np.int32)
+            shift = np.cumsum([0, *(len(p.data) for p in parts)])
+            out.first, out.data = np.concatenate([p.first + s for p, s in zip(parts, shift)]), np.concatenate([p.data for p in parts])
+            out.data, out.first = part(out, one, np.concatenate([p.sizes() for p in parts]))
+        return out, edges
+
     def __len__(self):
         return len(self.kind)
 
@@ -164,10 +189,13 @@ class Network:
         x = np.concatenate([np.where(rows[:, :, None] >= 0, self.p["E"][rows], 0).reshape(len(rows), -1), np.tanh(most)], 1)
         return (x, where) if keep else x
 
-    def _layer(self, x, at, mask, d: str, keep: bool):
-        """States of windows `at` of words with inputs x."""
-        U = self.p[f"U{d}"]
-        given = x @ self.p[f"W{d}"] + self.p[f"c{d}"]
+    def given(self, x) -> dict[str, np.ndarray]:
+        """What words with inputs x give to either layer."""
+        return {d: x @ self.p[f"W{d}"] + self.p[f"c{d}"] for d in "fb"}
+
+    def _layer(self, given, at, mask, d: str, keep: bool):
+        """States of windows `at` of words that give `given`."""
+        U, x = self.p[f"U{d}"], given
         n, steps = at.shape
         h, out, kept = np.zeros((n, HIDDEN), x.dtype), np.empty((n, steps, HIDDEN), x.dtype), [None] * steps
         whole = bool(mask.all())
@@ -184,10 +212,11 @@ class Network:
             out[:, t] = h = new
         return out, kept
 
-    def forward(self, x, at, mask, keep: bool = False):
+    def forward(self, x, at, mask, keep: bool = False, given: dict | None = None):
         """The logits of windows `at` (rows of x, the words' inputs)."""
-        f, kf = self._layer(x, at, mask, "f", keep)
-        b, kb = self._layer(x, at, mask, "b", keep)
+        given = self.given(x) if given is None else given
+        f, kf = self._layer(given["f"], at, mask, "f", keep)
+        b, kb = self._layer(given["b"], at, mask, "b", keep)
         states = np.concatenate([f, b], 2)
         u = np.tanh(states @ self.p["A"])
         s = u @ self.p["v"] + (mask - 1) * 1e4
@@ -269,10 +298,10 @@ class Network:
                     self.p[k] -= (rate * (first[k] / (1 - 0.9**n)) / (np.sqrt(second[k] / (1 - 0.999**n)) + 1e-8)).astype(np.float32)
 
 
-def part(said: Words, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def part(said: Words, words: np.ndarray, sizes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(data, first) of some of the different words."""
     pad = REACH // 2
-    size = said.sizes()[words] + 2 * pad
+    size = (said.sizes() if sizes is None else sizes)[words] + 2 * pad
     stop = np.cumsum(size)
     within = np.arange(int(size.sum())) - np.repeat(stop - size, size)
     return said.data[np.repeat(said.first[words] - pad, size) + within], stop - size + pad
@@ -321,12 +350,9 @@ def train(texts: list[str], y: list[int], weights: tuple[float, float] = (1.0, 1
     constant, the share of toxic rows (0 without rows).
     """
     y = np.array(y, np.float32)
-    data = [lowered(t) for t in texts]
-    said = Words(b" ".join(data))
+    said, edge = Words.of([lowered(t) for t in texts])
     if not 0 < y.sum() < len(y) or not len(said):
         return {"constant": float(y.mean()) if len(y) else 0.0}
-    ends = np.cumsum([len(t) + 1 for t in data])
-    edge = np.searchsorted(said.start, np.concatenate([[0], ends]) + 1)
     own_row = np.repeat(np.arange(len(y)), np.diff(edge))
     kinds = len(said.keys)
     buckets = said.buckets()
@@ -338,12 +364,13 @@ def train(texts: list[str], y: list[int], weights: tuple[float, float] = (1.0, 1
     rows = np.where(known[buckets], buckets, -1)
     told = np.maximum(_told_apart(own_row, said.kind, y), _told_apart(own_row, begin[said.kind], y))
 
-    cuts = [cut(said.kind[a:b]) for a, b in zip(edge[:-1], edge[1:])]
+    spans = list(zip(edge[:-1].tolist(), edge[1:].tolist()))
+    score = np.concatenate([np.partition(np.where(m > 0, c, -9), -2, axis=1)[:, -2:].sum(1) for c, m in (cut(told[a:b]) for a, b in spans)])
+    del told, own_row
+    cuts = [cut(said.kind[a:b]) for a, b in spans]
     own = np.repeat(np.arange(len(cuts)), [len(m) for _, m in cuts])
     every, masks = np.concatenate([c for c, _ in cuts]), np.concatenate([m for _, m in cuts])
-    place = np.concatenate([cut(np.arange(a, b))[0] for a, b in zip(edge[:-1], edge[1:])])
     has = np.diff(edge) > 0
-    score = np.partition(np.where(masks > 0, told[np.minimum(place, len(told) - 1)], -9), -2, axis=1)[:, -2:].sum(1)
     net, rng = Network(), np.random.default_rng(SEED)
     start = np.searchsorted(own, np.arange(len(cuts)))
     size = np.bincount(own, minlength=len(cuts))
@@ -355,8 +382,9 @@ def train(texts: list[str], y: list[int], weights: tuple[float, float] = (1.0, 1
         at = np.concatenate(chosen)
         at = at[has[own[at]]]
         net.fit(said, rows, every[at], masks[at], y[own[at]], EPOCHS, rate=0.01 if turn < 3 else 0.003, seed=turn)
-        x = net.inputs(rows, said.data, said.first)
-        score = np.concatenate([net.forward(x, every[i : i + 8192], masks[i : i + 8192]) for i in range(0, len(every), 8192)])
+        x = np.concatenate([net.inputs(rows[some], *part(said, some)) for some in np.split(np.arange(kinds), range(10_000, kinds, 10_000))])
+        given = net.given(x)
+        score = np.concatenate([net.forward(x, every[i : i + 4096], masks[i : i + 4096], given=given) for i in range(0, len(every), 4096)])
     high = np.maximum.reduceat(score, start)
     slope, offset = calibrated(high[has], y[has], np.where(y[has] == 1, weights[1], weights[0]))
     return {"weights": net.p, "known": known, "slope": slope, "offset": offset}
@@ -396,6 +424,7 @@ class Scorer:
             return
         buckets = said.buckets()
         x = self.net.inputs(np.where(self.model["known"][buckets], buckets, -1), said.data, said.first)
+        given = self.net.given(x)
         parts, masks, owner, held = [], [], [], 0
         for k, row in zip(full.tolist(), rows.tolist()):
             c, m = cut(said.kind[edge[k] : edge[k + 1]])
@@ -404,19 +433,19 @@ class Scorer:
             owner.append((row, len(m)))
             held += len(m)
             if held >= 4096:
-                self._score(x, parts, masks, owner, out)
+                self._score(x, given, parts, masks, owner, out)
                 parts, masks, owner, held = [], [], [], 0
         if owner:
-            self._score(x, parts, masks, owner, out)
+            self._score(x, given, parts, masks, owner, out)
 
-    def _score(self, x, cuts, masks, owner, out) -> None:
+    def _score(self, x, given, cuts, masks, owner, out) -> None:
         at, m = np.concatenate(cuts), np.concatenate(masks)
         whole = m.all(1)
         logit = np.empty(len(at))
         for one in (whole, ~whole):
             some = np.flatnonzero(one)
             for i in range(0, len(some), 2048):
-                logit[some[i : i + 2048]] = self.net.forward(x, at[some[i : i + 2048]], m[some[i : i + 2048]])
+                logit[some[i : i + 2048]] = self.net.forward(x, at[some[i : i + 2048]], m[some[i : i + 2048]], given=given)
         first = np.concatenate([[0], np.cumsum([n for _, n in owner])[:-1]])
         out[[i for i, _ in owner]] = sigmoid(self.model["slope"] * np.maximum.reduceat(logit, first) + self.model["offset"])
 
