@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import DT, LEVELS, RallyRule, ShotRule
-from .operators import fitting, matching, outcomes, segments, shots, tracker, tracks
+from .operators import analysis, fitting, geometry, matching, outcomes, segments, shots, tracker, tracks
 from .sources import files
 
 
@@ -29,6 +29,43 @@ def _rallies(a, t) -> DataFrame:
     return segments.rallies(segments.resting(t, segments.play_segments(t, a.dt), a.dt, RallyRule(quiet_speed=a.quiet, min_break=a.min_break)), RallyRule(min_break=a.min_break))
 
 
+def _is_video(path: str) -> bool:
+    return path.rsplit(".", 1)[-1].lower() in ("npy", "mp4", "mov", "avi", "mkv")
+
+
+def _matrix(spark, at: str | None):
+    """Image to metres by a calibration file, or the stored one."""
+    if not at:
+        return geometry.MATRIX
+    known = geometry.landmarks()
+    points = files.read_court(spark, at).orderBy("place").collect()
+    if unknown := [p.name for p in points if p.name not in known]:
+        raise SystemExit(f"unknown landmarks: {', '.join(unknown)}")
+    return geometry.fit([(known[p.name], (p.image_x, p.image_y)) for p in points])[1]
+
+
+def _seen(spark, a) -> DataFrame:
+    """Paths on the court from a video: detected, tracked, projected, smoothed."""
+    info = files.frames_info(spark, a.tracks)
+    a.dt = a.stride / info["fps"]
+    tracked = tracker.track(files.read_frames(spark, a.tracks, stride=a.stride), a.stride)
+    return analysis.paths(tracked, _matrix(spark, a.court), info["width"], info["height"], a.stride, a.dt, a.level)
+
+
+def autotune(spark, a) -> DataFrame:
+    info = files.frames_info(spark, a.tracks)
+    video = spark.createDataFrame([(0, info["frames"], float(info["fps"]))], "match_id int, frames bigint, fps double")
+    return analysis.tune(files.read_frames(spark, a.tracks), analysis.windows(video), stride=a.stride)
+
+
+def calibrate(spark, a) -> DataFrame:
+    """Residuals of a calibration file's points."""
+    known = geometry.landmarks()
+    points = files.read_court(spark, a.tracks)
+    rows = spark.createDataFrame([(n, float(x), float(y)) for n, (x, y) in known.items()], "name string, court_x double, court_y double")
+    return geometry.residuals(points.join(rows, "name"), _matrix(spark, a.tracks)).orderBy("place")
+
+
 def track(spark, a) -> DataFrame:
     return tracker.track(files.read_frames(spark, a.tracks, stride=a.stride), a.stride).drop("gate", "shirt")
 
@@ -74,7 +111,7 @@ def crossval(spark, a) -> DataFrame:
     return fitting.cross_validate(a.track, _points(spark, a.points).select("match_id", "time_s"), tolerance=a.tolerance)
 
 
-COMMANDS = {"track": track, "play": play, "smooth": smooth, "birdseye": birdseye, "rallies": rallies, "shots": shot_list, "winners": winners, "evaluate": evaluate, "train": train, "crossval": crossval}
+COMMANDS = {"track": track, "play": play, "smooth": smooth, "birdseye": birdseye, "rallies": rallies, "shots": shot_list, "winners": winners, "evaluate": evaluate, "train": train, "crossval": crossval, "autotune": autotune, "calibrate": calibrate}
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> DataFrame:
@@ -84,7 +121,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> Da
         raise SystemExit(2)
     name = resolve(argv[0], COMMANDS)
     p = argparse.ArgumentParser(prog=f"nickline {name}")
-    p.add_argument("tracks", help="a Parquet table match_id, slot, k, time_s, blobs, x, y; for track, frames")
+    p.add_argument("tracks", help="a Parquet table match_id, slot, k, time_s, blobs, x, y, or a video (.npy, .mp4); for calibrate, a calibration")
+    p.add_argument("--court", help="a calibration file, for videos")
     p.add_argument("--out", help="write CSV here instead of showing rows")
     p.add_argument("--points", help="a Parquet table of points or reference times: match_id, time_s, row, game")
     p.add_argument("--level", choices=LEVELS, default="normal")
@@ -95,8 +133,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> Da
     p.add_argument("--tolerance", type=float, default=5.0)
     a = p.parse_args(argv[1:])
     spark = spark or SparkSession.builder.getOrCreate()
-    if name != "track":
-        a.track = spark.read.parquet(a.tracks)
+    if name not in ("track", "autotune", "calibrate"):
+        a.track = _seen(spark, a) if _is_video(a.tracks) else spark.read.parquet(a.tracks)
     out = COMMANDS[name](spark, a)
     if a.out:
         files.write_table(out, a.out, [c for c in ("match_id", "rally_index", "frame_index", "slot", "time_s", "k") if c in out.columns])

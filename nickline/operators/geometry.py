@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import COURT, CourtSpec, RallyRule
+from ..config import COURT, ROI, CourtSpec, Detector, RallyRule
 
 #: Image fraction to metres, verified.
 MATRIX = ((15.306796529, 6.277857336, -8.296124482), (-0.071907909, 32.670756234, -17.705441654), (0.017280455, 1.786243524, 0.025195448))
@@ -142,3 +142,40 @@ def lab_to_rgb(lab) -> tuple[int, int, int]:
     lin = np.array([[3.2404542, -1.5371385, -0.4985314], [-0.969266, 1.8760108, 0.041556], [0.0556434, -0.2040259, 1.0572252]]) @ xyz
     gamma = np.where(lin <= 0.0031308, 12.92 * lin, 1.055 * np.maximum(lin, 0) ** (1 / 2.4) - 0.055)
     return tuple(int(v) for v in np.clip(np.round(255 * gamma), 0, 255))
+
+
+def rgb_hex(red, green, blue):
+    """`#rrggbb` of three columns of whole numbers."""
+    return F.format_string("#%02x%02x%02x", red, green, blue)
+
+
+def analysed_size(width: int, height: int, to: int = Detector.player_width) -> tuple[int, int]:
+    """The size at which frames of that size are looked at."""
+    return to, round(height * to / width)
+
+
+def roi_box(size: tuple[int, int], roi=ROI) -> tuple[int, int, int, int]:
+    """The part looked at, in whole pixels of that size."""
+    return tuple(round(r * size[i % 2]) for i, r in enumerate(roi))
+
+
+def foot_fraction(foot_x, foot_y, width: int, height: int) -> tuple:
+    """Columns of a foot, given in pixels of the part looked at, as fractions of the frame; null for null, as of a position that was only predicted."""
+    size = analysed_size(width, height)
+    x0, y0, _, _ = roi_box(size)
+    return (foot_x + x0) / F.lit(float(size[0])), (foot_y + y0) / F.lit(float(size[1]))
+
+
+def roi_point(x, y, width: int, height: int) -> tuple:
+    """The other way round: fractions of the frame as pixels of the part looked at."""
+    size = analysed_size(width, height)
+    x0, y0, _, _ = roi_box(size)
+    return x * F.lit(float(size[0])) - x0, y * F.lit(float(size[1])) - y0
+
+
+def box_in_roi(x0, y0, x1, y1, width: int, height: int) -> tuple:
+    """A box in fractions of the frame as fractions of the part looked at, cut off at its edges."""
+    left, top, right, bottom = roi_box(analysed_size(width, height))
+    wide, high = F.lit(float(right - left)), F.lit(float(bottom - top))
+    (a, b), (c, d) = roi_point(x0, y0, width, height), roi_point(x1, y1, width, height)
+    return F.greatest(F.lit(0.0), a / wide), F.greatest(F.lit(0.0), b / high), F.least(F.lit(1.0), c / wide), F.least(F.lit(1.0), d / high)

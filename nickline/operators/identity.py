@@ -134,11 +134,21 @@ def track_summary(slots: DataFrame) -> DataFrame:
     return by.groupBy("match_id").agg(F.count("*").alias("frames"), count(2, "both"), count(1, "one"), count(0, "none"), *[F.sum(c).cast("bigint").alias(a) for c, a in (("o", "observed"), ("s", "split"), ("p", "coasted"))])
 
 
-def roster(samples: DataFrame, lightness: float = 1.0) -> DataFrame:
-    """slot, l, a, b (truncated medians of the shirt samples) and spread, the median distance from them (null under two samples)."""
-    middle = samples.groupBy("slot").agg(*[F.percentile(c, 0.5).cast("int").alias(f"m{c}") for c in "lab"], F.count("*").alias("n"))
-    far = samples.join(middle, "slot").withColumn("d", shirt_distance(tuple(F.col(c) for c in "lab"), tuple(F.col(f"m{c}") for c in "lab"), lightness))
-    return far.groupBy("slot").agg(*[F.first(f"m{c}").alias(c) for c in "lab"], F.when(F.first("n") >= 2, F.percentile("d", 0.5)).alias("spread"))
+def roster(samples: DataFrame, lightness: float = 1.0, keys: tuple = ("match_id", "slot")) -> DataFrame:
+    """keys, l, a, b (truncated medians of the shirt samples) and spread, the median distance from them (null under two samples).
+
+    A roster is a video's; without match_id among the keys, all matches are one.
+    """
+    middle = samples.groupBy(*keys).agg(*[F.percentile(c, 0.5).cast("int").alias(f"m{c}") for c in "lab"], F.count("*").alias("n"))
+    far = samples.join(middle, list(keys)).withColumn("d", shirt_distance(tuple(F.col(c) for c in "lab"), tuple(F.col(f"m{c}") for c in "lab"), lightness))
+    return far.groupBy(*keys).agg(*[F.first(f"m{c}").alias(c) for c in "lab"], F.when(F.first("n") >= 2, F.percentile("d", 0.5)).alias("spread"))
+
+
+def separation(found: DataFrame, lightness: float = 1.0) -> DataFrame:
+    """match_id, separation: how far apart the two shirts of a roster (match_id, slot, l, a, b) are."""
+    one, two = (found.filter(F.col("slot") == n).select("match_id", *[F.col(c).cast("double").alias(f"{c}{n}") for c in "lab"]) for n in (0, 1))
+    far = shirt_distance(tuple(F.col(f"{c}0") for c in "lab"), tuple(F.col(f"{c}1") for c in "lab"), lightness)
+    return one.join(two, "match_id").select("match_id", far.alias("separation"))
 
 
 def pick(points: DataFrame, blobs: DataFrame, keys: tuple, reach: float = 40.0) -> DataFrame:

@@ -322,9 +322,12 @@ def q_kalman(spark, d):
     return identity.kalman(_detections(spark, d), ("match_id", "slot")).select("match_id", "slot", "k", *r6("at", "speed", "variance"))
 
 
-@query("roster", chain("SELECT s.slot, any_value(ml) AS l, any_value(ma) AS a, any_value(mb) AS b, round(median(sqrt(pow(s.l - ml, 2) + pow(s.a - ma, 2) + pow(s.b - mb, 2))), 6) AS spread FROM dt s JOIN m ON m.slot = s.slot GROUP BY 1", "t", dt=_DET, m="SELECT slot, CAST(trunc(median(l)) AS INT) AS ml, CAST(trunc(median(a)) AS INT) AS ma, CAST(trunc(median(b)) AS INT) AS mb FROM dt GROUP BY 1"))
+_MID = "SELECT match_id, slot, CAST(trunc(median(l)) AS INT) AS ml, CAST(trunc(median(a)) AS INT) AS ma, CAST(trunc(median(b)) AS INT) AS mb FROM dt GROUP BY 1, 2"
+
+
+@query("roster", chain("SELECT s.match_id, s.slot, any_value(ml) AS l, any_value(ma) AS a, any_value(mb) AS b, round(median(sqrt(pow(s.l - ml, 2) + pow(s.a - ma, 2) + pow(s.b - mb, 2))), 6) AS spread FROM dt s JOIN m ON m.match_id = s.match_id AND m.slot = s.slot GROUP BY 1, 2", "t", dt=_DET, m=_MID))
 def q_roster(spark, d):
-    return identity.roster(_detections(spark, d)).select("slot", "l", "a", "b", *r6("spread"))
+    return identity.roster(_detections(spark, d)).select("match_id", "slot", "l", "a", "b", *r6("spread"))
 
 
 @query("pick", chain("SELECT match_id, s, arg_min(det_id, (far, det_id)) AS det_id FROM (SELECT match_id, k // 5 AS s, det_id, CASE WHEN 128 BETWEEN cx - 10 AND cx + 10 AND 200 BETWEEN cy - h / 2.0::DOUBLE AND cy + h / 2.0::DOUBLE THEN 0 ELSE sqrt(pow(128 - cx, 2) + pow(200 - cy, 2)) END AS far FROM dt) WHERE far <= 40 GROUP BY 1, 2", "t", dt=_DET))

@@ -23,6 +23,27 @@ def read_court(spark, path: str) -> DataFrame:
     return points.select("place", "p.name", F.col("p.image")[0].alias("image_x"), F.col("p.image")[1].alias("image_y"))
 
 
+def write_court(pairs: DataFrame, path: str, video: str = "") -> None:
+    """A calibration of points (name, image_x, image_y, court_x, court_y, residual_cm), in order of their names."""
+    one = F.struct("name", F.array("image_x", "image_y").alias("image"), F.array("court_x", "court_y").alias("court"), "residual_cm")
+    found = pairs.agg(F.sort_array(F.collect_list(one)).alias("p"))
+    points = F.transform("p", lambda x: F.struct(x["name"].alias("name"), x["image"].alias("image"), x["court"].alias("court")))
+    found.select(F.lit(video).alias("video"), points.alias("points"), F.col("p.residual_cm").alias("residuals_cm")).coalesce(1).write.mode("overwrite").json(path)
+
+
+def write_settings(found: dict, path: str, spark, part: str = "parameters", video: str = "") -> None:
+    """A settings file that read_settings reads."""
+    spark.createDataFrame([(json.dumps({"video": video, part: found}),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def frames_info(spark, path: str, **options) -> dict:
+    """frames, fps, width and height of a video or stack, read from it without reading all frames."""
+    reader = _FrameReader({"path": path, **{k: str(v) for k, v in options.items()}})
+    frames, fps = reader.info()
+    first = read_frames(spark, path, **options).select("h", "w").first()
+    return {"frames": frames, "fps": fps, "width": first.w if first else 0, "height": first.h if first else 0}
+
+
 def read_labels(spark, path: str, kinds: list[str] | None = None) -> DataFrame:
     """time_s, kind of the marks, of all kinds or those named; a mark without a kind ends a rally."""
     marks = _json(spark, path, LABEL_SCHEMA).select(F.explode("marks").alias("m")).select("m.time_s", F.coalesce("m.kind", F.lit("rally")).alias("kind"))

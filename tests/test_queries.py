@@ -2,7 +2,7 @@ import os
 
 import pytest
 
-from nickline.plans import more as _  # noqa: F401
+from nickline.plans import places as _  # noqa: F401
 from nickline.plans.queries import ORACLES, QUERIES
 
 from .oracle import compare

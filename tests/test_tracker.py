@@ -64,6 +64,56 @@ def test_two_players_are_followed(spark, tmp_path):
     assert tracker.resolved(tracker.track(df)).first().share > 0.6
 
 
+def test_from_frames_to_rallies(spark, tmp_path):
+    from nickline.cli import main
+    from nickline.operators import analysis, geometry
+
+    # both figures run, then stand; feet lie on the court of a plain calibration
+    moving, still = scene(60), np.repeat(scene(60)[-1:], 40, 0)
+    np.save(tmp_path / "clip.npy", np.concatenate([moving, moving[::-1], still, moving]))
+    to_metres = lambda x, y: (x * 6.4, y * 9.75)
+    points = [{"name": n, "image": [x / 6.4, y / 9.75]} for n, (x, y) in geometry.landmarks().items()]
+    (tmp_path / "court.json").write_text(__import__("json").dumps({"points": points}))
+    args = [str(tmp_path / "clip.npy"), "--court", str(tmp_path / "court.json"), "--stride", "1"]
+    path = main(["smooth", *args], spark)
+    rows = path.filter("x is not null").collect()
+    assert len(rows) > 200 and {r.slot for r in rows} == {0, 1}
+    tracked = {(r.frame_index, r.slot): r for r in tracker.track(read_frames(spark, args[0], fps=30)).collect()}
+    matrix = geometry.fit([(m, (m[0] / 6.4, m[1] / 9.75)) for m in geometry.landmarks().values()])[1]
+    raw = analysis.on_court(tracker.track(read_frames(spark, args[0], fps=30)), matrix, 480, 270).collect()
+    assert len(raw) == len(tracked)
+    for r in raw:
+        got = tracked[(r.k, r.slot)]
+        if got.foot_x is None:
+            assert r.x is None and not r.off
+        else:
+            assert (r.x, r.y) == pytest.approx(to_metres((64 + got.foot_x) / 480, (37 + got.foot_y) / 270), abs=1e-6)
+    assert main(["rallies", *args, "--quiet", "0.3", "--min-break", "0.5"], spark).columns == ["match_id", "rally_index", "start_s", "end_s"]
+    residuals = main(["calibrate", str(tmp_path / "court.json")], spark).collect()
+    assert len(residuals) == 14 and all(r.residual_cm < 0.01 for r in residuals)
+
+
+def test_settings_are_searched_over_spans(spark, tmp_path):
+    from nickline.operators import analysis
+
+    np.save(tmp_path / "clip.npy", scene(40))
+    frames = read_frames(spark, str(tmp_path / "clip.npy"), fps=25)
+    spans = analysis.windows(spark.createDataFrame([(0, 40, 25.0)], "match_id int, frames bigint, fps double"), 2, 0.6)
+    assert [(r.nr, r["first"], r["end"]) for r in spans.orderBy("nr").collect()] == [(0, 12, 27), (1, 28, 40)]
+    found = analysis.tune(frames, spans, {"difference": (25, 250)}, 1).collect()
+    assert [r.difference for r in found] == [25, 250] and found[0].share > found[1].share == 0
+
+
+def test_calibrations_and_settings_round_trip(spark, tmp_path):
+    from nickline.sources.files import write_court, write_settings
+
+    rows = spark.createDataFrame([("tee", 0.1, 0.2, 3.2, 4.26, 1.5)], "name string, image_x double, image_y double, court_x double, court_y double, residual_cm double")
+    write_court(rows, str(tmp_path / "court"))
+    assert read_court(spark, str(tmp_path / "court")).first().image_y == 0.2
+    write_settings({"quiet_speed": 0.9}, str(tmp_path / "set"), spark)
+    assert read_settings(spark, str(tmp_path / "set"), {"quiet_speed"}) == {"quiet_speed": 0.9}
+
+
 def test_stride_and_span(spark, tmp_path):
     np.save(tmp_path / "clip.npy", np.zeros((50, 4, 4, 3), np.uint8))
     got = read_frames(spark, str(tmp_path / "clip.npy"), fps=10, start_s=1, duration_s=2, stride=3)
