@@ -124,6 +124,8 @@ class Detector:
 COURT = CourtSpec()
 #: The part of a frame that is looked at, as fractions of it (left, top, right, bottom).
 ROI = (0.134, 0.138, 0.944, 0.992)
+#: Where the score stands in a frame.
+SCORE_BOX = (0.52656, 0.90093, 0.62865, 0.98796)
 #: The settings that the search for a detector tries, five windows of twelve seconds.
 DETECTOR_GRID = {"difference": (12, 15, 18, 22, 25, 30), "min_area": (300, 400, 550), "min_height": (35, 45)}
 WINDOWS, WINDOW_S = 5, 12.0

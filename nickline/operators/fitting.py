@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import COURT, DT, CourtSpec, RallyRule, VolleyRule
-from ..plans.bridge import samples
 from . import geometry, matching, segments, tracks
 
 # The grid of the rally detector, searched in this order.

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import COURT, DT, CourtSpec, Play, RallyRule, half_window
-from ..plans.bridge import samples
 from . import geometry, tracks
 
 
@@ -90,7 +89,7 @@ def resting(track: DataFrame, segments: DataFrame | None = None, dt: float = DT,
     act = in_play(act, segments) if segments is not None else act.withColumn("in_play", F.lit(True))
     least = F.lit(rule.quiet_speed)
     if rule.serve_bonus != 1.0:
-        ready = geometry.serve_ready(samples(track), court, rule.box_margin).select("match_id", "k", "ready")
+        ready = geometry.serve_ready(tracks.samples(track), court, rule.box_margin).select("match_id", "k", "ready")
         act = act.join(ready, ["match_id", "k"], "left")
         least = F.when(F.coalesce("ready", F.lit(False)), rule.quiet_speed * rule.serve_bonus).otherwise(rule.quiet_speed)
     return act.select("match_id", "k", "time_s", (~F.col("in_play") | F.col("activity").isNull() | (F.col("activity") < least)).alias("resting"))
@@ -116,3 +115,8 @@ def rallies(rest: DataFrame, rule: RallyRule = RallyRule(), keys: tuple = ("matc
 def excluding(track: DataFrame, lo: float, hi: float) -> DataFrame:
     """The track outside [lo, hi), with piece 0 before and 1 after."""
     return track.filter((F.col("time_s") < lo) | (F.col("time_s") >= hi)).withColumn("piece", F.when(F.col("time_s") < lo, 0).otherwise(1))
+
+
+def within_span(track: DataFrame, lo: float, hi: float) -> DataFrame:
+    """The track inside [lo, hi)."""
+    return track.filter((F.col("time_s") >= lo) & (F.col("time_s") < hi))

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import COURT, CourtSpec, RallyRule, ShotRule
-from ..plans.bridge import samples
 from . import geometry, tracks
 
 RALLY = ["match_id", "rally_index"]
@@ -102,7 +101,7 @@ def candidates(rows: DataFrame, value: str = "smooth", rule: ShotRule = ShotRule
 
 def servers(track: DataFrame, rallies: DataFrame, rule: ShotRule = ShotRule(), court: CourtSpec = COURT, margin: float = RallyRule.box_margin) -> DataFrame:
     """match_id, rally_index, server: who serves in the first sample, of the rally's first seconds, that shows a serve."""
-    seen = geometry.serve_ready(within(samples(track), rallies), court, margin)
+    seen = geometry.serve_ready(within(tracks.samples(track), rallies), court, margin)
     first = seen.withColumn("t0", F.min("time_s").over(Window.partitionBy(*RALLY))).filter(F.col("ready") & (F.col("time_s") <= F.col("t0") + rule.anchor_s))
     return first.groupBy(*RALLY).agg(F.min_by("server", "k").alias("server"))
 

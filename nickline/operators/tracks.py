@@ -151,3 +151,23 @@ def activity(track: DataFrame, dt: float = DT, window_s: float = RallyRule.activ
 def radial(track: DataFrame, court: CourtSpec = COURT) -> DataFrame:
     """The track with radial, the distance to the middle of the short line."""
     return track.withColumn("radial", F.sqrt(F.pow(F.col("x") - court.half, 2) + F.pow(F.col("y") - court.short_line, 2)))
+
+
+def trail(track: DataFrame, max_gap: int = 3) -> DataFrame:
+    """match_id, slot, k, x0, y0, x, y, weight: the lines of each path between seen positions at most max_gap samples apart; later ones are stronger."""
+    order, match = Window.partitionBy("match_id", "slot").orderBy("k"), Window.partitionBy("match_id")
+    rows = track.withColumn("_n", F.max("k").over(match) + 1).filter("x is not null")
+    rows = rows.withColumn("_gap", F.col("k") - F.lag("k").over(order)).withColumn("x0", F.lag("x").over(order)).withColumn("y0", F.lag("y").over(order))
+    return rows.filter(F.col("_gap") <= max_gap).select("match_id", "slot", "k", "x0", "y0", "x", "y", (0.35 + 0.65 * (F.col("k") + 1) / F.col("_n")).alias("weight"))
+
+
+def wide(track: DataFrame, columns: tuple = ("x", "y"), form: str = "%.4f") -> DataFrame:
+    """match_id, k, p0_x, p0_y, p1_x, p1_y as text, a row for each sample."""
+    seat = [F.max(F.when((F.col("slot") == n) & F.col(c).isNotNull(), F.format_string(form, c))).alias(f"p{n}_{c}") for n in (0, 1) for c in columns]
+    return track.groupBy("match_id", "k").agg(*seat)
+
+
+def samples(track: DataFrame) -> DataFrame:
+    """match_id, k, time_s, blobs and both players' positions, a row for each sample."""
+    at = lambda slot, c: F.max(F.when(F.col("slot") == slot, F.col(c))).alias(f"{c}{slot}")
+    return track.groupBy("match_id", "k", "time_s").agg(F.min("blobs").alias("blobs"), at(0, "x"), at(0, "y"), at(1, "x"), at(1, "y"))

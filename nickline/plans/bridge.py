@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 MATCH = "(day(ts) - 1) {div} 10"
 BY_DAY = "day(ts)"
@@ -34,9 +33,3 @@ def track(spark, sf_dir: str, match: str = MATCH) -> DataFrame:
     """match_id, k, slot, time_s, blobs, x, y, event_id, event_type: a long table of two players' positions in metres."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "event_type", "value")
     return spark.sql(_SHAPE.format(match=match.format(div="div"), div="div", events="{events}"), events=events)
-
-
-def samples(track_: DataFrame) -> DataFrame:
-    """match_id, k, time_s, blobs and both players' positions, a row for each sample."""
-    at = lambda slot, c: F.max(F.when(F.col("slot") == slot, F.col(c))).alias(f"{c}{slot}")
-    return track_.groupBy("match_id", "k", "time_s").agg(F.min("blobs").alias("blobs"), at(0, "x"), at(0, "y"), at(1, "x"), at(1, "y"))

@@ -31,7 +31,7 @@ def q_marks(spark, d):
 
 @query("window_slice", chain("SELECT match_id, count(*) AS n, min(k) AS first_k, max(k) AS last_k FROM t WHERE time_s >= 10.0::DOUBLE AND time_s < 30.0::DOUBLE GROUP BY 1", "t"))
 def q_slice(spark, d):
-    return _track(spark, d).filter("time_s >= 10.0 and time_s < 30.0").groupBy("match_id").agg(F.count("*").alias("n"), F.min("k").alias("first_k"), F.max("k").alias("last_k"))
+    return segments.within_span(_track(spark, d), 10.0, 30.0).groupBy("match_id").agg(F.count("*").alias("n"), F.min("k").alias("first_k"), F.max("k").alias("last_k"))
 
 
 @query("excluding", chain("SELECT match_id, CASE WHEN time_s < 10.0::DOUBLE THEN 0 ELSE 1 END AS piece, count(*) AS n FROM t WHERE time_s < 10.0::DOUBLE OR time_s >= 30.0::DOUBLE GROUP BY 1, 2", "t"))
@@ -145,6 +145,10 @@ def q_cross(spark, d):
     return fitting.cross_validated(_labelled(spark, d), "source", ["size", "week"]).select("doc_id", "fold", *r6("score"))
 
 
+#: Patches of four rows; a band is three columns wide.
+_WIDTH = 16
+
+
 def _patches(spark, d):
     e = spark.read.parquet(f"{d}/embeddings.parquet")
     i = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
@@ -152,23 +156,34 @@ def _patches(spark, d):
 
 
 _PATCH = "pa AS (SELECT label AS cell, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS i, list_transform(embedding, lambda v: CAST(v AS DOUBLE) * 256) AS patch FROM embeddings)"
-_DIFF = """st AS (SELECT cell, i, max(m) AS difference FROM (SELECT cell, i, (j - 1) % 8 AS c, avg(abs(patch[j] - last[j])) AS m FROM (SELECT *, unnest(generate_series(1, 64)) AS j FROM (SELECT *, lag(patch) OVER (PARTITION BY cell ORDER BY i) AS last FROM pa) WHERE last IS NOT NULL) WHERE (j - 1) % 8 < 5 GROUP BY 1, 2, 3) GROUP BY 1, 2)"""
+_DIFF = """st AS (SELECT cell, i, max(m) AS difference FROM (SELECT cell, i, ((j - 1) % 16) // 3 AS c, avg(abs(patch[j] - last[j])) AS m FROM (SELECT *, unnest(generate_series(1, 64)) AS j FROM (SELECT *, lag(patch) OVER (PARTITION BY cell ORDER BY i) AS last FROM pa) WHERE last IS NOT NULL) WHERE (j - 1) % 16 < 15 GROUP BY 1, 2, 3) GROUP BY 1, 2)"""
 
 
 @query("cell_difference", f"WITH {_PATCH}, {_DIFF} SELECT cell, i, {s6('difference')} FROM st")
 def q_difference(spark, d):
-    return scoreboard.steps(_patches(spark, d), 8).filter("difference is not null").select("cell", "i", *r6("difference"))
+    return scoreboard.steps(_patches(spark, d), _WIDTH).filter("difference is not null").select("cell", "i", *r6("difference"))
 
 
 @query("noise_level", f"WITH {_PATCH}, {_DIFF}, m AS (SELECT cell, median(difference) AS middle FROM st GROUP BY 1) SELECT cell, round(middle, 6) AS middle, round(median(abs(difference - middle)) + 1e-6, 6) AS spread, round(greatest(2.5::DOUBLE, middle + 4 * (median(abs(difference - middle)) + 1e-6)), 6) AS level FROM st JOIN m USING (cell) GROUP BY cell, middle")
 def q_level(spark, d):
-    return scoreboard.noise_level(scoreboard.steps(_patches(spark, d), 8)).select("cell", *r6("middle", "spread", "level"))
+    return scoreboard.noise_level(scoreboard.steps(_patches(spark, d), _WIDTH)).select("cell", *r6("middle", "spread", "level"))
+
+
+_STEADY = "pb AS (SELECT cell, i, first_value(patch) OVER (PARTITION BY cell, i // 14 ORDER BY i) AS patch FROM pa)"
+_LEVEL = "lv AS (SELECT cell, greatest(2.5::DOUBLE, any_value(middle) + 4.0::DOUBLE * (median(abs(difference - middle)) + 1e-6::DOUBLE)) AS level, count(*) + 1 AS n FROM (SELECT *, median(difference) OVER (PARTITION BY cell) AS middle FROM st) GROUP BY 1 HAVING count(*) >= 2)"
+_FAR = "list_max(list_transform([0, 1, 2, 3, 4], lambda c: list_avg(list_transform(list_filter(generate_series(1, 64), lambda j: ((j - 1) % 16) // 3 = c), lambda j: abs({a}[j] - {b}[j])))))"
+# place by place: the settled patch, the last change, and the place from which to look on
+_SETTLE = f"""wc AS (SELECT l.cell, least(n - 1, 4) AS i, n, level, p.patch AS settled, least(n - 1, 4) + 1 AS due, NULL::BIGINT AS last, NULL::DOUBLE AS magnitude FROM lv l JOIN pb p ON p.cell = l.cell AND p.i = least(n - 1, 4) UNION ALL
+  SELECT cell, i, n, level, CASE WHEN turn THEN onward ELSE settled END, CASE WHEN turn THEN i + 6 ELSE due END, CASE WHEN turn AND new THEN i ELSE last END, CASE WHEN turn AND new THEN far END FROM (
+    SELECT w.cell, w.i + 1 AS i, w.n, w.level, w.settled, w.due, w.last, a.ahead[len(a.ahead)] AS onward, {_FAR.format(a="a.ahead[1]", b="w.settled")} AS far, w.last IS NULL OR (w.i + 1 - w.last) / 2.0::DOUBLE >= 6.0::DOUBLE AS new,
+      w.i + 1 >= w.due AND len(list_filter(a.ahead, lambda q: {_FAR.format(a="q", b="w.settled")} <= w.level)) = 0 AS turn FROM wc w JOIN ah a ON a.cell = w.cell AND a.i = w.i + 1))"""
+_AHEAD = "ah AS (SELECT cell, i, list(patch) OVER (PARTITION BY cell ORDER BY i ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS ahead FROM pb)"
 
 
-@query("score_changes")
+@query("score_changes", f"WITH RECURSIVE {_PATCH}, {_STEADY}, {_DIFF.replace('FROM pa)', 'FROM pb)')}, {_LEVEL}, {_AHEAD}, {_SETTLE} SELECT cell, i, {s6('magnitude')} FROM wc WHERE magnitude IS NOT NULL")
 def q_changes(spark, d):
     held = F.first("patch").over(Window.partitionBy("cell", F.expr("i div 14")).orderBy("i"))
-    return scoreboard.score_changes(_patches(spark, d).withColumn("patch", held), 8).select("cell", "i", *r6("magnitude"))
+    return scoreboard.score_changes(_patches(spark, d).withColumn("patch", held), _WIDTH).select("cell", "i", *r6("magnitude"))
 
 
 def _readings(spark, d):
@@ -340,14 +355,11 @@ def q_pick(spark, d):
 _TRAIL = "SELECT *, row_number() OVER w AS n, k - lag(k) OVER w AS gap FROM t WHERE x IS NOT NULL WINDOW w AS (PARTITION BY match_id, slot ORDER BY k)"
 
 
-@query("trail_segments", chain("SELECT match_id, slot, k FROM tr WHERE gap <= 4", "t", tr=_TRAIL))
+@query("trail_segments", chain("SELECT match_id, slot, k, round(0.35::DOUBLE + 0.65::DOUBLE * (k + 1) / (SELECT max(k) + 1 FROM t u WHERE u.match_id = tr.match_id), 6) AS weight FROM tr WHERE gap <= 3", "t", tr=_TRAIL))
 def q_trail(spark, d):
-    order = Window.partitionBy("match_id", "slot").orderBy("k")
-    rows = _track(spark, d).filter("x is not null").withColumn("gap", F.col("k") - F.lag("k").over(order))
-    return rows.filter("gap <= 4").select("match_id", "slot", "k")
+    return tracks.trail(_track(spark, d)).select("match_id", "slot", "k", *r6("weight"))
 
 
 @query("positions_wide", chain("SELECT match_id, k, max(printf('%.4f', x)) FILTER (slot = 0) AS p0_x, max(printf('%.4f', y)) FILTER (slot = 0) AS p0_y, max(printf('%.4f', x)) FILTER (slot = 1) AS p1_x, max(printf('%.4f', y)) FILTER (slot = 1) AS p1_y FROM t GROUP BY 1, 2", "t"))
 def q_wide(spark, d):
-    seat = [F.max(F.when((F.col("slot") == n) & F.col(c).isNotNull(), F.format_string("%.4f", c))).alias(f"p{n}_{c}") for n in (0, 1) for c in ("x", "y")]
-    return _track(spark, d).groupBy("match_id", "k").agg(*seat)
+    return tracks.wide(_track(spark, d))

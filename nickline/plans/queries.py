@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..config import COURT
 from ..operators import geometry, matching, outcomes, segments, shots, tracks
 from . import bridge
-from .oracles import alpha_beta, box, chain
+from .oracles import STEPS, alpha_beta, box, chain
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -138,7 +138,7 @@ def q_box(spark, d):
 
 @query("serve_ready", chain("SELECT match_id, k, CAST(server AS INT) AS server, server IS NOT NULL AS ready FROM sr", "sr"))
 def q_serve(spark, d):
-    return geometry.serve_ready(bridge.samples(_track(spark, d))).select("match_id", "k", "server", "ready")
+    return geometry.serve_ready(tracks.samples(_track(spark, d))).select("match_id", "k", "server", "ready")
 
 
 @query("plan_points", chain("SELECT match_id, slot, k, CAST(round_even(26.0::DOUBLE + x * 46.0::DOUBLE, 0) AS INT) AS px, CAST(round_even(26.0::DOUBLE + y * 46.0::DOUBLE, 0) AS INT) AS py FROM t", "t"))
@@ -245,6 +245,27 @@ def q_server(spark, d):
     return shots.servers(_track(spark, d), _rallies(spark, d))
 
 
+# Every eleventh sample one player stands in a box and the other waits behind the other half.
+_SERVED = "SELECT match_id, k, slot, time_s, blobs, CASE WHEN x IS NULL OR k % 11 <> 0 THEN x WHEN slot = (k // 11) % 2 THEN 5.4::DOUBLE ELSE 1.6::DOUBLE END AS x, CASE WHEN y IS NULL OR k % 11 <> 0 THEN y WHEN slot = (k // 11) % 2 THEN 5.0::DOUBLE ELSE 7.0::DOUBLE END AS y FROM t"
+_SERVE_STEPS = {"t2": _SERVED, "s2": STEPS["s"].replace("FROM t ", "FROM t2 "), "sb2": STEPS["sb"].replace("FROM s", "FROM s2"), "sr2": STEPS["sr"].replace("FROM sb", "FROM sb2"), "se2": STEPS["se"].replace("sr.", "sr2.").replace("FROM sr ", "FROM sr2 ")}
+
+
+def _servers(spark, d):
+    there, own = F.col("x").isNull() | (F.col("k") % 11 != 0), F.col("slot") == F.expr("(k div 11) % 2")
+    put = lambda c, a, b: F.when(there, F.col(c)).when(own, a).otherwise(b).alias(c)
+    return shots.servers(_track(spark, d).select("match_id", "k", "slot", "time_s", "blobs", put("x", 5.4, 1.6), put("y", 5.0, 7.0)), _rallies(spark, d))
+
+
+@query("server_in_box", chain("SELECT match_id, CAST(rally_index AS INT) AS rally_index, CAST(server AS INT) AS server FROM se2", "t", "ra", **_SERVE_STEPS))
+def q_server_in_box(spark, d):
+    return _servers(spark, d)
+
+
+@query("served_alternation", chain(f"SELECT match_id, CAST(rally_index AS INT) AS rally_index, slot, {s6('time_s')}, taken FROM al2", "ca", "ra", "t", **_SERVE_STEPS, al2=STEPS["al"].replace("JOIN se ", "JOIN se2 ")))
+def q_served_alternation(spark, d):
+    return shots.alternated(shots.candidates(_rows(spark, d)), _servers(spark, d)).select("match_id", "rally_index", "slot", *r6("time_s"), "taken")
+
+
 @query("alternation", chain(f"SELECT match_id, CAST(rally_index AS INT) AS rally_index, slot, {s6('time_s')}, taken FROM al", "al"))
 def q_alternation(spark, d):
     t, r = _track(spark, d), _rallies(spark, d)

@@ -53,16 +53,9 @@ def test_short_runs_settle():
 
 
 def _prominence(v, i):
-    left = right = v[i]
-    for j in range(i - 1, -1, -1):
-        left = min(left, v[j])
-        if v[j] > v[i]:
-            break
-    for j in range(i + 1, len(v)):
-        right = min(right, v[j])
-        if v[j] > v[i]:
-            break
-    return v[i] - max(left, right)
+    higher = np.flatnonzero(v > v[i])
+    left, right = max(higher[higher < i], default=0), min(higher[higher > i], default=len(v) - 1)
+    return v[i] - max(v[left : i + 1].min(), v[i : right + 1].min())
 
 
 @settings(max_examples=200)
