@@ -5,7 +5,9 @@ from __future__ import annotations
 import dataclasses
 import itertools
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DETECTOR_GRID, LEVELS, WINDOW_S, WINDOWS, Detector
@@ -55,3 +57,27 @@ def tune(frames: DataFrame, spans: DataFrame, grid: dict = DETECTOR_GRID, stride
         one = share.select(F.lit(i).alias("param"), *[F.lit(v).alias(n) for n, v in zip(grid, values)], "share")
         parts = one if parts is None else parts.unionByName(one)
     return parts.orderBy(F.col("share").desc(), "param")
+
+
+def clean_frame(frames: DataFrame, fps: float, at_s: float = 280.0, samples: int = 60, spacing: int = 40) -> DataFrame:
+    """match_id, h, w, bgr: the median of frames spread from at_s on (or up to the end), in which who moves is gone.  A match's few samples are one group."""
+    span = samples * spacing
+    total = frames.groupBy("match_id").agg((F.max("frame_index") + 1).alias("_n"))
+    rows = frames.join(F.broadcast(total), "match_id").withColumn("_from", F.least(F.lit(int(at_s * fps)), F.greatest(F.lit(0), F.col("_n") - span)))
+    gone = F.col("frame_index") - F.col("_from")
+    picked = rows.filter((gone >= 0) & (gone < span) & (gone % spacing == 0))
+
+    def middle(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        stack = np.stack([np.frombuffer(b, np.uint8) for b in pdf.bgr])
+        return pd.DataFrame([(*key, int(pdf.h.iloc[0]), int(pdf.w.iloc[0]), np.median(stack, axis=0).astype(np.uint8).tobytes())], columns=["match_id", "h", "w", "bgr"])
+
+    return picked.select("match_id", "h", "w", "bgr").groupBy("match_id").applyInPandas(middle, "match_id int, h int, w int, bgr binary")
+
+
+def draw_list(tracked: DataFrame, last: int = 24) -> DataFrame:
+    """match_id, frame_index, slot, kind, numbers: what to draw over each frame: boxes (x, y, w, h), gates (x, y, radius) and the last centres as a trail (x, y, x, y, ...)."""
+    order = Window.partitionBy("match_id", "slot").orderBy("frame_index").rowsBetween(-last + 1, 0)
+    rows = tracked.withColumn("_trail", F.flatten(F.collect_list(F.when(F.col("cx").isNotNull(), F.array("cx", "cy"))).over(order)))
+    box = F.when(F.col("cx").isNotNull(), F.transform(F.array("x", "y", "w", "h"), lambda v: v.cast("double")))
+    kinds = F.explode(F.array(*[F.struct(F.lit(n).alias("kind"), c.alias("numbers")) for n, c in (("box", box), ("gate", F.col("gate")), ("trail", F.when(F.size("_trail") >= 4, F.col("_trail"))))])).alias("d")
+    return rows.select("match_id", "frame_index", "slot", kinds).select("match_id", "frame_index", "slot", "d.kind", "d.numbers").filter("numbers is not null")

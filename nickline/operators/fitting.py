@@ -86,6 +86,10 @@ def reach(rows: DataFrame, dt: float = DT, rule: VolleyRule = VolleyRule()) -> D
     return rows.withColumn("radial_v", F.when(enough, (last - first) / rule.reach_s)).withColumn("out_reach", F.when(enough, last - F.min("radial").over(back)))
 
 
+#: What volley_features gives of each shot.
+FEATURES = ["depth_short", "interval_norm", "radial_v", "out_reach"]
+
+
 def volley_features(shots: DataFrame, rows: DataFrame, dt: float = DT, rule: VolleyRule = VolleyRule(), court: CourtSpec = COURT) -> DataFrame:
     """match_id, rally_index, time_s, player, depth_short, interval_norm, radial_v, out_reach of each shot in a rally of two or more.
 

@@ -133,6 +133,23 @@ def plan_point(x, y, scale: float = 46.0, margin: float = 26.0) -> tuple:
     return F.bround(margin + x * scale).cast("int"), F.bround(margin + y * scale).cast("int")
 
 
+def lines(court: CourtSpec = COURT) -> list[tuple[str, float, float, float, float]]:
+    """(part, x0, y0, x1, y1): the floor's lines in metres, by walls, the short and half-court lines, and the boxes' sides."""
+    w, n, s, b, m = court.width, court.length, court.short_line, court.box, court.half
+    out = [("wall", 0.0, 0.0, w, 0.0), ("wall", 0.0, 0.0, 0.0, n), ("wall", w, 0.0, w, n), ("wall", 0.0, n, w, n), ("line", 0.0, s, w, s), ("line", m, s, m, n)]
+    for x in (0.0, w - b):
+        out += [("box", *p) for p in ((x, s, x + b, s), (x, s + b, x + b, s + b), (x, s, x, s + b), (x + b, s, x + b, s + b))]
+    return out
+
+
+def drawn_lines(spark, to_image, width: int, height: int, court: CourtSpec = COURT) -> DataFrame:
+    """part, x0, y0, x1, y1: the floor's lines in whole pixels of a frame of that size."""
+    rows = spark.createDataFrame(lines(court), "part string, x0 double, y0 double, x1 double, y1 double")
+    ends = [applied(to_image, F.col(f"x{i}"), F.col(f"y{i}")) for i in (0, 1)]
+    at = lambda c, size: F.bround(c * size).cast("int")
+    return rows.select("part", *[at(c, size).alias(f"{n}{i}") for i, p in enumerate(ends) for c, n, size in zip(p, "xy", (width, height))])
+
+
 def lab_to_rgb(lab) -> tuple[int, int, int]:
     """8-bit Lab (128 is zero, 255 is 100) as sRGB under D65."""
     light, a, b = lab[0] * 100 / 255, lab[1] - 128.0, lab[2] - 128.0

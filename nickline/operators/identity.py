@@ -151,6 +151,37 @@ def separation(found: DataFrame, lightness: float = 1.0) -> DataFrame:
     return one.join(two, "match_id").select("match_id", far.alias("separation"))
 
 
+def standing(edits: DataFrame, keys: tuple = ("match_id",), order: str = "nr") -> DataFrame:
+    """The edits (keys, nr, action, ...) that no undo took back; an undo takes back the last one that stands, or nothing.
+
+    An edit goes when the number of standing ones falls below what it was with that edit, so running sums and minima tell.
+    """
+    past = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    later = Window.partitionBy(*keys).orderBy(order).rowsBetween(1, Window.unboundedFollowing)
+    rows = edits.withColumn("_sum", F.sum(F.when(F.col("action") == "undo", -1).otherwise(1)).over(past))
+    rows = rows.withColumn("_depth", F.col("_sum") - F.least(F.lit(0), F.min("_sum").over(past)))
+    rows = rows.withColumn("_low", F.coalesce(F.min("_depth").over(later), F.col("_depth")))
+    return rows.filter((F.col("action") != "undo") & (F.col("_low") >= F.col("_depth"))).select(*edits.columns)
+
+
+def fence(x, y, w, h, wide, high, tallest, pad: float = 8.0):
+    """A struct of the padded box x0, y0, x1, y1 around a blob in fractions of the part looked at (wide, high), its height, and that relative to the tallest other blob."""
+    edge = lambda c, size: F.least(F.lit(1.0), F.greatest(F.lit(0.0), c / size))
+    relative = F.when(tallest > 0, F.bround(h / tallest, 3))
+    parts = {"x0": edge(x - pad, wide), "y0": edge(y - pad, high), "x1": edge(x + w + pad, wide), "y1": edge(y + h + pad, high), "height": h / high, "relative": relative}
+    return F.struct(*[c.alias(n) for n, c in parts.items()])
+
+
+def risky(relative, most: float = 0.75):
+    """Whether a fence is about as tall as a player, so that it would take players in, too."""
+    return F.coalesce(relative >= most, F.lit(False))
+
+
+def roster_state(samples: DataFrame) -> DataFrame:
+    """match_id, player_height (median over both players; null heights don't count), complete (both have a sample) of samples (match_id, slot, height)."""
+    return samples.groupBy("match_id").agg(F.percentile("height", 0.5).alias("player_height"), (F.countDistinct("slot") == 2).alias("complete"))
+
+
 def pick(points: DataFrame, blobs: DataFrame, keys: tuple, reach: float = 40.0) -> DataFrame:
     """keys, det_id: the blob (x, y, w, h, cx, cy) a click (px, py) falls in, or the nearest centre within reach."""
     rows = points.join(blobs, list(keys))

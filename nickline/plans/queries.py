@@ -147,12 +147,16 @@ def q_plan(spark, d):
     return _track(spark, d).select("match_id", "slot", "k", px.alias("px"), py.alias("py"))
 
 
-_MARKS = ", ".join(f"('{n}', {x}::DOUBLE, {y}::DOUBLE)" for n, (x, y) in geometry.landmarks().items())
+# The floor's named points in metres.
+_MARKS = """('front_left_corner', 0.0::DOUBLE, 0.0::DOUBLE), ('front_right_corner', 6.4, 0.0), ('back_left_corner', 0.0, 9.75), ('back_right_corner', 6.4, 9.75),
+  ('short_left', 0.0, 4.26), ('short_right', 6.4, 4.26), ('tee', 3.2, 4.26), ('half_court_back', 3.2, 9.75),
+  ('box_left_inner_front', 1.6, 4.26), ('box_left_outer_back', 0.0, 5.86), ('box_left_inner_back', 1.6, 5.86),
+  ('box_right_inner_front', 4.8, 4.26), ('box_right_outer_back', 6.4, 5.86), ('box_right_inner_back', 4.8, 5.86)"""
 
 
-@query("landmarks", f"SELECT * FROM (VALUES {_MARKS}) AS v(name, court_x, court_y)")
+@query("landmarks", f"SELECT name, round(court_x, 6) AS court_x, round(court_y, 6) AS court_y FROM (VALUES {_MARKS}) AS v(name, court_x, court_y)")
 def q_landmarks(spark, d):
-    return spark.createDataFrame([(n, float(x), float(y)) for n, (x, y) in geometry.landmarks().items()], "name string, court_x double, court_y double")
+    return spark.createDataFrame([(n, float(x), float(y)) for n, (x, y) in geometry.landmarks().items()], "name string, court_x double, court_y double").select("name", *r6("court_x", "court_y"))
 
 
 @query("residuals", f"WITH p AS (SELECT name, court_x, court_y, {_apply(_I, 'court_x', 'court_y', 0)} + 0.001::DOUBLE AS image_x, {_apply(_I, 'court_x', 'court_y', 1)} AS image_y FROM (VALUES {_MARKS}) AS v(name, court_x, court_y)) SELECT name, round(100 * sqrt(pow({_apply(_H, 'image_x', 'image_y', 0)} - court_x, 2) + pow({_apply(_H, 'image_x', 'image_y', 1)} - court_y, 2)), 6) AS residual_cm FROM p")

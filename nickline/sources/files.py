@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -56,10 +57,36 @@ def write_labels(marks: DataFrame, path: str, video: str = "") -> None:
     listed.select(F.lit(video).alias("video"), "marks").coalesce(1).write.mode("overwrite").json(path)
 
 
+def marked(edits: DataFrame, keys: tuple = ("match_id",), near: float = 0.4) -> DataFrame:
+    """keys, time_s, kind of the marks that a log of edits (keys, nr, action mark or undo, time_s, kind) leaves.
+
+    A mark replaces those within near seconds of it, an undo takes the last that is left.  What a person marked on one video is one group.
+    """
+    keys = list(keys)
+    kinds = ", ".join(f"`{k}` {t}" for k, t in edits.select(*keys).dtypes)
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        left: list = []
+        for e in pdf.sort_values("nr").itertuples():
+            left = left[:-1] if e.action == "undo" else [*(m for m in left if abs(m[0] - e.time_s) > near), (round(e.time_s, 2), e.kind)]
+        return pd.DataFrame([(*key, *m) for m in left], columns=[*keys, "time_s", "kind"])
+
+    return edits.select(*keys, "nr", "action", "time_s", "kind").groupBy(*keys).applyInPandas(run, f"{kinds}, time_s double, kind string")
+
+
+def write_roster(samples: DataFrame, zones: DataFrame, path: str, video: str = "") -> None:
+    """One roster of shirt samples (slot, l, a, b) and fences (x0, y0, x1, y1, height) that read_roster reads."""
+    one = samples.groupBy("slot").agg(F.sort_array(F.collect_list(F.array("l", "a", "b"))).alias("samples")).select(F.struct("slot", "samples").alias("player"))
+    fences = zones.select(F.struct(F.array("x0", "y0", "x1", "y1").alias("box"), "height").alias("zone"))
+    both = one.unionByName(fences, allowMissingColumns=True).agg(F.sort_array(F.collect_list("player")).alias("players"), F.collect_list("zone").alias("ignore"))
+    both.select(F.lit(video).alias("video"), "players", "ignore").coalesce(1).write.mode("overwrite").json(path)
+
+
 def read_roster(spark, path: str) -> tuple[DataFrame, DataFrame]:
-    """(slot, shirt samples as l, a, b; zones x0, y0, x1, y1, height)."""
+    """(slot, shirt samples as l, a, b; zones x0, y0, x1, y1, height).  A player without samples has the shirt as one."""
     found = _json(spark, path, ROSTER_SCHEMA)
-    players = found.select(F.explode("players").alias("p")).select("p.slot", F.explode("p.samples").alias("s"))
+    own = F.when(F.size("p.samples") > 0, F.col("p.samples")).when(F.col("p.shirt").isNotNull(), F.array("p.shirt"))
+    players = found.select(F.explode("players").alias("p")).select("p.slot", F.explode(own).alias("s"))
     zones = found.select(F.explode("ignore").alias("z")).select(*[F.col("z.box")[i].alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))], F.col("z.height").alias("height"))
     return players.select("slot", *[F.col("s")[i].alias(n) for i, n in enumerate("lab")]), zones
 
