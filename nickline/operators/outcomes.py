@@ -33,15 +33,25 @@ def hitters(shots: DataFrame) -> DataFrame:
     return shots.groupBy(*RALLY).agg(F.min_by("player", "time_s").alias("server"), F.max_by("player", "time_s").alias("last_hitter"))
 
 
+def _played(rallies: DataFrame, shots: DataFrame, points: DataFrame, rule: OutcomeRule) -> DataFrame:
+    """Each rally with its point, its hitters and next, who serves the rally after it; each input is read once."""
+    after = Window.partitionBy("match_id").orderBy("rally_index")
+    follows = F.lead("rally_index").over(after) == F.col("rally_index") + 1
+    return rally_points(rallies, points, rule).join(hitters(shots), RALLY, "left").withColumn("next", F.when(follows, F.lead("server").over(after)))
+
+
+def _votes() -> tuple:
+    """(votes for rows as players' numbers, votes for the other way round), to be summed over a match."""
+    return tuple(F.sum(F.when(c, 1).otherwise(0)) for c in (F.col("row") == F.col("next"), F.col("row") != F.col("next")))
+
+
 def row_votes(rallies: DataFrame, shots: DataFrame, points: DataFrame, rule: OutcomeRule = OutcomeRule()) -> DataFrame:
     """match_id, crossed, agreement, votes: whether the scoreboard's rows are the players' numbers or the other way round.
 
     Who scores a rally serves the next one.
     """
-    served = hitters(shots).select("match_id", (F.col("rally_index") - 1).alias("rally_index"), F.col("server").alias("next"))
-    tally = rally_points(rallies, points, rule).join(served, RALLY, "left").groupBy("match_id").agg(
-        F.sum(F.when(F.col("row") == F.col("next"), 1).otherwise(0)).alias("straight"), F.sum(F.when(F.col("row") != F.col("next"), 1).otherwise(0)).alias("cross")
-    )
+    straight, cross = _votes()
+    tally = _played(rallies, shots, points, rule).groupBy("match_id").agg(straight.alias("straight"), cross.alias("cross"))
     votes = F.col("straight") + F.col("cross")
     return tally.select("match_id", (F.col("straight") < F.col("cross")).alias("crossed"), F.when(votes > 0, F.greatest("straight", "cross") / votes).otherwise(0.0).alias("agreement"), votes.cast("bigint").alias("votes"))
 
@@ -51,8 +61,9 @@ def outcomes(rallies: DataFrame, shots: DataFrame, points: DataFrame, rule: Outc
 
     A rally without a point is a let in the highest game so far; a point in a rally without shots makes a let with a scorer.
     """
-    rows = rally_points(rallies, points, rule).join(hitters(shots), RALLY, "left").join(row_votes(rallies, shots, points, rule).select("match_id", "crossed"), "match_id", "left")
-    scorer = F.when(F.coalesce("crossed", F.lit(False)), 1 - F.col("row")).otherwise(F.col("row"))
+    straight, cross = (v.over(Window.partitionBy("match_id")) for v in _votes())
+    rows = _played(rallies, shots, points, rule).withColumn("crossed", straight < cross)
+    scorer = F.when(F.col("crossed"), 1 - F.col("row")).otherwise(F.col("row"))
     so_far = F.coalesce(F.max("game").over(Window.partitionBy("match_id").orderBy("rally_index")), F.lit(0))
     kind = F.when(F.col("row").isNull() | F.col("last_hitter").isNull(), "let").when(F.col("last_hitter") == scorer, "winner").otherwise("error")
     return rows.select(*RALLY, "end_s", kind.alias("kind"), scorer.cast("int").alias("scorer"), F.when(F.col("row").isNull(), so_far).otherwise(F.col("game")).cast("int").alias("game"))
