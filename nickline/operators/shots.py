@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,14 +16,22 @@ from . import geometry, tracks
 RALLY = ["match_id", "rally_index"]
 
 
+#: Seconds of a stretch of time, within which rows look for their rally.
+STRETCH = 30.0
+
+
 def within(rows: DataFrame, rallies: DataFrame) -> DataFrame:
-    """rows (match_id, time_s, …) with the rally_index whose [start_s, end_s) holds them.
+    """rows (match_id, time_s, …) with the rally_index whose [start_s, end_s) holds them; of several the first.
 
-    A match's rallies travel as one array by match, so this is no theta join.
+    Time is cut into stretches, and the rallies that reach into one travel as one array by match and stretch, so this is no theta join and a
+    row's work doesn't grow with its match.
     """
-    listed = rallies.groupBy("match_id").agg(F.sort_array(F.collect_list(F.struct("start_s", "end_s", "rally_index"))).alias("spans"))
+    stretch = lambda c: F.floor(F.col(c) / STRETCH)
+    reached = rallies.filter("start_s < end_s").withColumn("_b", F.explode(F.sequence(stretch("start_s"), stretch("end_s"))))
+    listed = reached.groupBy("match_id", "_b").agg(F.sort_array(F.collect_list(F.struct("start_s", "end_s", "rally_index"))).alias("spans"))
     own = F.filter("spans", lambda s: (F.col("time_s") >= s["start_s"]) & (F.col("time_s") < s["end_s"]))
-    return rows.join(listed, "match_id").withColumn("own", F.try_element_at(own, F.lit(1))).filter("own is not null").withColumn("rally_index", F.col("own.rally_index")).drop("own", "spans")
+    met = rows.withColumn("_b", stretch("time_s")).join(listed, ["match_id", "_b"]).withColumn("own", F.try_element_at(own, F.lit(1))).filter("own is not null")
+    return met.withColumn("rally_index", F.col("own.rally_index")).drop("own", "spans", "_b")
 
 
 def range_smooth(rows: DataFrame, value: str = "radial", window_s: float = ShotRule.smooth_s) -> DataFrame:
@@ -60,21 +69,61 @@ def prominences(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def suppressed(times: np.ndarray, strength: np.ndarray, gap: float) -> np.ndarray:
     """Places kept when peaks are taken from the strongest and those too near a kept one are dropped."""
     kept: list[int] = []
+    at: list[float] = []  # the kept ones' times, sorted: only the two around a peak can be the nearest
     for i in np.argsort(-strength, kind="stable"):
-        if all(abs(times[i] - times[j]) >= gap for j in kept):
+        n = bisect(at, times[i])
+        if all(abs(times[i] - t) >= gap for t in at[max(0, n - 1) : n + 1]):
             kept.append(i)
+            at.insert(n, times[i])
     return np.sort(np.array(kept, int))
 
 
-def _grouped(rows: DataFrame, value: str, fn) -> DataFrame:
-    """fn(times, values) gives (times, prominences) for each rally and player; one rally's samples are one group."""
+_PEAKS = pa.schema([("match_id", pa.int32()), ("rally_index", pa.int32()), ("slot", pa.int32()), ("time_s", pa.float64()), ("prominence", pa.float64())])
 
-    def run(keys, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf[pdf[value].notna()].sort_values("k")
-        t, p = fn(pdf.time_s.to_numpy(), pdf[value].to_numpy())
-        return pd.DataFrame({"match_id": keys[0], "rally_index": keys[1], "slot": keys[2], "time_s": t, "prominence": p})
 
-    return rows.select(*RALLY, "slot", "k", "time_s", value).groupBy(*RALLY, "slot").applyInPandas(run, "match_id int, rally_index int, slot int, time_s double, prominence double")
+def _grouped(rows: DataFrame, value: str, fn) -> DataFrame:
+    """fn(times, values) gives (times, prominences) for each rally and player, streamed from sorted partitions; one rally's samples are held at a time."""
+    keys = [*RALLY, "slot"]
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, np.ndarray, np.ndarray]]:
+        held, last = [], None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            new = np.zeros(b.num_rows, bool)
+            for c in b.columns[:3]:
+                for x in (c.fill_null(0).to_numpy(zero_copy_only=False), c.is_null().to_numpy(zero_copy_only=False)):
+                    new[1:] |= x[1:] != x[:-1]
+            t, v = (b.column(n).to_numpy(zero_copy_only=False) for n in (3, 4))
+            cuts = [0, *np.flatnonzero(new).tolist(), b.num_rows]
+            for i, j in zip(cuts[:-1], cuts[1:]):
+                key = tuple(c[i].as_py() for c in b.columns[:3])
+                if held and key != last:
+                    yield last, *(np.concatenate(x) for x in zip(*held))
+                    held = []
+                held.append((t[i:j], v[i:j]))
+                last = key
+        if held:
+            yield last, *(np.concatenate(x) for x in zip(*held))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, n = [], 0
+        for key, t, v in groups(batches):
+            there = ~np.isnan(v)
+            out.append((key, *fn(t[there], v[there])))
+            n += len(out[-1][1])
+            if n >= 10_000:
+                yield table(out)
+                out, n = [], 0
+        if n:
+            yield table(out)
+
+    def table(found: list) -> pa.RecordBatch:
+        names = [pa.array([key[i] for key, t, _ in found for _ in range(len(t))], pa.int32()) for i in range(3)]
+        return pa.RecordBatch.from_arrays([*names, *(pa.array(np.concatenate([f[i] for f in found]), pa.float64()) for i in (1, 2))], schema=_PEAKS)
+
+    parts = rows.select(*[F.col(c).cast("int").alias(c) for c in keys], "time_s", F.col(value).cast("double").alias("value"), "k").repartition(*keys).sortWithinPartitions(*keys, "k")
+    return parts.mapInArrow(run, "match_id int, rally_index int, slot int, time_s double, prominence double")
 
 
 def prominent(rows: DataFrame, value: str = "smooth", least: float = ShotRule.prominence) -> DataFrame:
