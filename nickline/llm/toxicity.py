@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, per_text, small_batches, table
+from .common import packed, per_text, released, small_batches, table
 
 WINDOW, STEP = 24, 12
 HIDDEN, ATTENTION = 8, 8
@@ -369,11 +369,13 @@ def train(texts: list[str], y: list[int], weights: tuple[float, float] = (1.0, 1
     del told, own_row
     cuts = [cut(said.kind[a:b]) for a, b in spans]
     own = np.repeat(np.arange(len(cuts)), [len(m) for _, m in cuts])
+    start = np.searchsorted(own, np.arange(len(cuts)))
+    size = np.bincount(own, minlength=len(cuts))
     every, masks = np.concatenate([c for c, _ in cuts]), np.concatenate([m for _, m in cuts])
+    del cuts
+    released()
     has = np.diff(edge) > 0
     net, rng = Network(), np.random.default_rng(SEED)
-    start = np.searchsorted(own, np.arange(len(cuts)))
-    size = np.bincount(own, minlength=len(cuts))
     for turn in range(4):
         best = np.lexsort((-score, own))
         chosen = [best[start]]
@@ -480,7 +482,12 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     one = found.groupBy("id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).collect()
     one = sorted((r["id"], r["y"], r["text"]) for r in one)
     sampled = [sum(y == k for _, y, _ in one) for k in (0, 1)]
-    return train([t for _, _, t in one], [y for _, y, _ in one], tuple(counts.get(k, 0) / max(1, sampled[k]) for k in (0, 1)))
+    texts, y = [t for _, _, t in one], [y for _, y, _ in one]
+    del one
+    model = train(texts, y, tuple(counts.get(k, 0) / max(1, sampled[k]) for k in (0, 1)))
+    del texts
+    released()
+    return model
 
 
 def score(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
