@@ -108,14 +108,16 @@ def volley_features(shots: DataFrame, rows: DataFrame, dt: float = DT, rule: Vol
 def volley_labels(shots: DataFrame, marks: DataFrame, tolerance: float = VolleyRule.tolerance_s) -> DataFrame:
     """shots with y: 1 if a volley mark is near and no other mark nearer, 0 if only another mark is near, else null.  A mark may label several shots.
 
-    Time is cut into buckets of the tolerance, so marks and shots meet in an equi-join.
+    Time is cut into buckets of the tolerance; the marks that reach into one travel as one array, so shots are read once.
     """
     bucket = lambda c: F.floor(F.col(c) / tolerance).cast("bigint")
     spread = marks.select("match_id", F.col("time_s").alias("mark_s"), (F.col("kind") == "volley").alias("volley"), F.explode(F.array(bucket("time_s") - 1, bucket("time_s"), bucket("time_s") + 1)).alias("b"))
-    near = shots.withColumn("b", bucket("time_s")).join(spread, ["match_id", "b"]).withColumn("d", F.abs(F.col("time_s") - F.col("mark_s"))).filter(F.col("d") <= tolerance)
-    best = near.groupBy(*RALLY, "time_s").agg(F.min(F.when(F.col("volley"), F.col("d"))).alias("v"), F.min(F.when(~F.col("volley"), F.col("d"))).alias("o"))
+    listed = spread.groupBy("match_id", "b").agg(F.collect_list(F.struct("mark_s", "volley")).alias("marks"))
+    far = lambda m: F.abs(F.col("time_s") - m["mark_s"])
+    nearest = lambda own: F.array_min(F.transform(F.filter("marks", lambda m: own(m["volley"]) & (far(m) <= tolerance)), far))
+    near = shots.withColumn("b", bucket("time_s")).join(listed, ["match_id", "b"], "left").withColumns({"v": nearest(lambda v: v), "o": nearest(lambda v: ~v)})
     y = F.when(F.col("v").isNotNull() & (F.col("o").isNull() | (F.col("v") <= F.col("o"))), 1).when(F.col("o").isNotNull(), 0)
-    return shots.join(best, [*RALLY, "time_s"], "left").withColumn("y", y).drop("v", "o")
+    return near.select(*shots.columns, y.alias("y"))
 
 
 def standardised(rows: DataFrame, features: list[str], keys: tuple = ()) -> DataFrame:
