@@ -50,20 +50,28 @@ def local_peaks(rows: DataFrame, value: str = "smooth") -> DataFrame:
 
 
 def prominences(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places of interior local maxima, their prominences): a stack of larger values gives the minimum back to the last of them."""
+    """(places of interior local maxima, their prominences): a stack of larger values gives the minimum back to the last of them.
 
-    def lowest(x: np.ndarray) -> np.ndarray:
-        out, stack = np.empty(len(x)), []
-        for i, a in enumerate(x):
-            low = a
+    Only the maxima and both ends walk the stack, each with the minimum of the stretch to the next: between two of them a slope's values are no limits.
+    """
+
+    def lowest(top: list[float], between: list[float]) -> np.ndarray:
+        out, stack = [], []
+        for a, low in zip(top, [np.inf, *between]):
+            low = min(a, low)
             while stack and stack[-1][0] <= a:
                 low = min(low, stack.pop()[1])
-            out[i] = low
+            out.append(low)
             stack.append((a, low))
-        return out
+        return np.array(out)
 
     at = np.flatnonzero((v[1:-1] >= v[:-2]) & (v[1:-1] >= v[2:])) + 1 if len(v) > 2 else np.zeros(0, int)
-    return at, (v - np.maximum(lowest(v), lowest(v[::-1])[::-1]))[at]
+    if not len(at):
+        return at, np.zeros(0)
+    nodes = np.concatenate([[0], at, [len(v) - 1]])
+    top, between = v[nodes].tolist(), np.minimum.reduceat(v, nodes)[:-1].tolist()
+    low = np.maximum(lowest(top, between), lowest(top[::-1], between[::-1])[::-1])
+    return at, v[at] - low[1:-1]
 
 
 def suppressed(times: np.ndarray, strength: np.ndarray, gap: float) -> np.ndarray:
