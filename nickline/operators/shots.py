@@ -182,8 +182,8 @@ def shots(track: DataFrame, rallies: DataFrame, rule: ShotRule = ShotRule(), cou
     """
     rows = range_smooth(within(tracks.radial(track, court), rallies), "radial", rule.smooth_s)
     turns = alternated(candidates(rows, "smooth", rule), servers(track, rallies, rule, court))
-    spots = within(track, rallies).select(*RALLY, "slot", "time_s", "x", "y")
-    taken = turns.filter("taken").join(spots, [*RALLY, "slot", "time_s"]).filter("x is not null")  # a candidate's time is a sample's
+    spots = track.select("match_id", "slot", "time_s", "x", "y").filter("x is not null")
+    taken = turns.filter("taken").join(spots, ["match_id", "slot", "time_s"])  # a candidate's time is a sample's, and the time names its rally
     out = taken.select("match_id", "rally_index", F.bround("time_s", 2).alias("time_s"), F.col("slot").alias("player"), F.col("x").alias("position_x_m"), F.col("y").alias("position_y_m"), F.lit("radial_peak").alias("source"))
     counts = turns.groupBy(*RALLY).agg(F.count("*").alias("candidates"), F.sum(F.when(F.col("taken"), 0).otherwise(1)).cast("bigint").alias("dropped"), F.max(F.col("server").isNotNull()).alias("anchored"))
     stats = rallies.withColumn("duration", F.col("end_s") - F.col("start_s")).join(counts, RALLY, "left")

@@ -11,7 +11,7 @@ from ..operators import fitting, identity, scoreboard, segments, shots, tracks
 from . import bridge
 from .oracles import _rallies as rallies_sql
 from .oracles import chain
-from .queries import _NEAR, _points, _rallies, _shots, query, r6, s6
+from .queries import _NEAR, _held, _points, _rallies, _shots, query, r6, s6
 
 _track = bridge.track
 
@@ -70,7 +70,8 @@ def q_cv(spark, d):
 
 
 def _radial_rows(spark, d):
-    return shots.within(tracks.radial(_track(spark, d)), _rallies(spark, d))
+    t, r = _held(spark, d)
+    return shots.within(tracks.radial(t), r)
 
 
 _REACH = """SELECT match_id, rally_index, slot, k, ms, CASE WHEN n >= 2 THEN (l - f) / 1.0::DOUBLE END AS radial_v, CASE WHEN n >= 2 THEN l - m END AS out_reach FROM (

@@ -220,8 +220,12 @@ def q_radial(spark, d):
     return tracks.radial(_track(spark, d), COURT).select("match_id", "slot", "k", *r6("radial"))
 
 
+def _smooth(track, rallies):
+    return shots.range_smooth(shots.within(tracks.radial(track), rallies))
+
+
 def _rows(spark, d):
-    return shots.range_smooth(shots.within(tracks.radial(_track(spark, d)), _rallies(spark, d)))
+    return _smooth(*_held(spark, d))
 
 
 @query("range_smooth", chain(f"SELECT match_id, CAST(rally_index AS INT) AS rally_index, slot, k, {s6('smooth')} FROM sm", "sm"))
@@ -254,10 +258,14 @@ _SERVED = "SELECT match_id, k, slot, time_s, blobs, CASE WHEN x IS NULL OR k % 1
 _SERVE_STEPS = {"t2": _SERVED, "s2": STEPS["s"].replace("FROM t ", "FROM t2 "), "sb2": STEPS["sb"].replace("FROM s", "FROM s2"), "sr2": STEPS["sr"].replace("FROM sb", "FROM sb2"), "se2": STEPS["se"].replace("sr.", "sr2.").replace("FROM sr ", "FROM sr2 ")}
 
 
-def _servers(spark, d):
+def _served(track, rallies):
     there, own = F.col("x").isNull() | (F.col("k") % 11 != 0), F.col("slot") == F.expr("(k div 11) % 2")
     put = lambda c, a, b: F.when(there, F.col(c)).when(own, a).otherwise(b).alias(c)
-    return shots.servers(_track(spark, d).select("match_id", "k", "slot", "time_s", "blobs", put("x", 5.4, 1.6), put("y", 5.0, 7.0)), _rallies(spark, d))
+    return shots.servers(track.select("match_id", "k", "slot", "time_s", "blobs", put("x", 5.4, 1.6), put("y", 5.0, 7.0)), rallies)
+
+
+def _servers(spark, d):
+    return _served(_track(spark, d), _rallies(spark, d))
 
 
 @query("server_in_box", chain("SELECT match_id, CAST(rally_index AS INT) AS rally_index, CAST(server AS INT) AS server FROM se2", "t", "ra", **_SERVE_STEPS))
@@ -267,17 +275,24 @@ def q_server_in_box(spark, d):
 
 @query("served_alternation", chain(f"SELECT match_id, CAST(rally_index AS INT) AS rally_index, slot, {s6('time_s')}, taken FROM al2", "ca", "ra", "t", **_SERVE_STEPS, al2=STEPS["al"].replace("JOIN se ", "JOIN se2 ")))
 def q_served_alternation(spark, d):
-    return shots.alternated(shots.candidates(_rows(spark, d)), _servers(spark, d)).select("match_id", "rally_index", "slot", *r6("time_s"), "taken")
+    t, r = _held(spark, d)
+    return shots.alternated(shots.candidates(_smooth(t, r)), _served(t, r)).select("match_id", "rally_index", "slot", *r6("time_s"), "taken")
 
 
 @query("alternation", chain(f"SELECT match_id, CAST(rally_index AS INT) AS rally_index, slot, {s6('time_s')}, taken FROM al", "al"))
 def q_alternation(spark, d):
-    t, r = _track(spark, d), _rallies(spark, d)
-    return shots.alternated(shots.candidates(_rows(spark, d)), shots.servers(t, r)).select("match_id", "rally_index", "slot", *r6("time_s"), "taken")
+    t, r = _held(spark, d)
+    return shots.alternated(shots.candidates(_smooth(t, r)), shots.servers(t, r)).select("match_id", "rally_index", "slot", *r6("time_s"), "taken")
+
+
+def _held(spark, d):
+    """The track and its rallies, each made once: what looks samples up in rallies reads both several times."""
+    t = _track(spark, d).localCheckpoint()
+    return t, segments.rallies(segments.resting(t)).localCheckpoint()
 
 
 def _shots(spark, d):
-    return shots.shots(_track(spark, d), _rallies(spark, d))
+    return shots.shots(*_held(spark, d))
 
 
 @query("shots", chain(f"SELECT match_id, CAST(rally_index AS INT) AS rally_index, {s6('time_s')}, player, {s6('position_x_m', 'position_y_m')}, 'radial_peak' AS source FROM sh", "sh"))
@@ -295,11 +310,15 @@ def q_shot_summary(spark, d):
     return shots.shot_summary(_shots(spark, d)[0]).select("match_id", "shots", "rallies", *r6("median_interval"))
 
 
-def _points(spark, d):
-    t = _track(spark, d).filter("event_type = 'purchase' and event_id % 40 = 0")
+def _pointed(track):
+    t = track.filter("event_type = 'purchase' and event_id % 40 = 0")
     return t.select("match_id", (F.col("event_id") % 2).cast("int").alias("row"), F.least(F.expr("k div 400"), F.lit(4)).cast("int").alias("game"), "time_s")
 
 
+def _points(spark, d):
+    return _pointed(_track(spark, d))
+
+
 @query("nearest_point", chain(f"SELECT match_id, CAST(rally_index AS INT) AS rally_index, {s6('end_s', 'point_s')}, row, game FROM rp", "rp"))
 def q_nearest(spark, d):
     return outcomes.rally_points(_rallies(spark, d), _points(spark, d)).select("match_id", "rally_index", *r6("end_s", "point_s"), "row", "game")
@@ -312,11 +331,13 @@ def q_hitters(spark, d):
 
 @query("row_votes", chain(f"SELECT match_id, crossed, {s6('agreement')}, CAST(votes AS BIGINT) AS votes FROM vo", "vo"))
 def q_votes(spark, d):
-    return outcomes.row_votes(_rallies(spark, d), _shots(spark, d)[0], _points(spark, d)).select("match_id", "crossed", *r6("agreement"), "votes")
+    t, r = _held(spark, d)
+    return outcomes.row_votes(r, shots.shots(t, r)[0], _pointed(t)).select("match_id", "crossed", *r6("agreement"), "votes")
 
 
 def _outcomes(spark, d):
-    return outcomes.outcomes(_rallies(spark, d), _shots(spark, d)[0], _points(spark, d))
+    t, r = _held(spark, d)
+    return outcomes.outcomes(r, shots.shots(t, r)[0], _pointed(t))
 
 
 @query("outcomes", chain(f"SELECT match_id, CAST(rally_index AS INT) AS rally_index, {s6('end_s')}, kind, scorer, game FROM ou", "ou"))
