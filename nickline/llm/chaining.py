@@ -35,6 +35,8 @@ HOT = 0.001
 SALTS = 64
 #: Ids of texts that may be broadcast, eight bytes each; more meet the texts in a shuffle.
 BROADCAST_IDS = 500_000
+#: A key's places are dealt out in parts of about so many where all are joined.
+DEALT = 1000
 #: Where a seed's first and last holders gave no passage, it makes a key with each of so many next seeds.
 NEXT = 2
 
@@ -107,12 +109,12 @@ def stretches(word: np.ndarray, periods) -> list[tuple[int, int, int]]:
     return out
 
 
-_SEED = pa.schema([("h", pa.int64()), ("t", pa.int64()), ("pos", pa.int32()), ("k", pa.int32()), ("again", pa.bool_())])
+_SEED = pa.schema([("h", pa.int64()), ("t", pa.int64()), ("pos", pa.int32()), ("k", pa.int32()), ("again", pa.bool_()), ("before", pa.int64())])
 
 
 def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, t, pos, k, again): hash, text, place, words, whether the text has others with this hash or seeds beside it were left out (a chain of
-    it may be a passage however short it is).
+    """(h, t, pos, k, again, before): hash, text, place, words, whether the text has others with this hash or seeds beside it were left out (a chain of
+    it may be a passage however short it is), the sum of the text's words before it (see within).
 
     A seed that the text has PERIOD words before or fewer is left out.  Of stretches k is the negative length.  A batch's texts are worked on together.
     """
@@ -126,6 +128,8 @@ def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         size = np.bincount(text, minlength=len(data))
         name, begin = batch.column("t").to_numpy(), np.cumsum(size) - size
+        with np.errstate(over="ignore"):
+            sums = np.concatenate([[np.uint64(0)], np.cumsum(word * _powers(_ODD, len(word))[: len(word)])])
         periods: dict[int, set[int]] = {}
         for k, w in SEEDS:
             h, at = winnowed(word, k, w, text)
@@ -148,11 +152,13 @@ def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             same = np.concatenate([[False], (h[order][1:] == h[order][:-1]) & (own[order][1:] == own[order][:-1]), [False]])
             again = beside
             again[order] |= same[1:] | same[:-1]
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(name[own]), pa.array((at - begin[own]).astype(np.int32)), pa.array(np.full(len(h), k, np.int32)), pa.array(again)], schema=_SEED)
+            with np.errstate(over="ignore"):
+                before = (sums[at] - sums[begin[own]]) * _powers(_BACK, len(word))[begin[own]]
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(name[own]), pa.array((at - begin[own]).astype(np.int32)), pa.array(np.full(len(h), k, np.int32)), pa.array(again), pa.array(before.view(np.int64))], schema=_SEED)
         for o, lengths in periods.items():
             if found := stretches(word[begin[o] : begin[o] + size[o]], lengths):
                 n = len(found)
-                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array(np.full(n, name[o])), pa.array([f[1] for f in found], pa.int32()), pa.array([f[1] - f[2] for f in found], pa.int32()), pa.array(np.zeros(n, bool))], schema=_SEED)
+                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array(np.full(n, name[o])), pa.array([f[1] for f in found], pa.int32()), pa.array([f[1] - f[2] for f in found], pa.int32()), pa.array(np.zeros(n, bool)), pa.array(np.zeros(n, np.int64))], schema=_SEED)
 
 
 def runs(x: np.ndarray, y: np.ndarray, k: np.ndarray, again: np.ndarray) -> list[tuple[int, int, int, bool]]:
@@ -461,6 +467,44 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield _fine(both, t[mine][one], pos[mine][one], pos[mine][two], length, bare[at[two] + length] > bare[at[one]])
 
 
+_APART = pa.schema([("key", pa.int64()), ("words", pa.int64()), ("t", pa.int64()), ("pos", pa.int32()), ("mate", pa.int32()), ("open", pa.bool_())])
+
+
+def within(before: np.ndarray, one: np.ndarray, two: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """The hash of the words from one seed's place to another's, from the sums of the words before them."""
+    with np.errstate(over="ignore"):
+        return mixed((before[two] - before[one]) * _powers(_BACK, int(pos.max(initial=0)))[pos[one]])
+
+
+def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of texts (passages, kind 0, and short shared seeds, kind 1) to keys of every two seeds that a chain may join, with the hash of the words
+    from one to the other; open where words within LEAST of the two aren't covered."""
+    reach = LONGEST_GAP + SEEDS[0][0]
+    for group in _whole(batches, "t"):
+        t, h, pos, k, kind, before = (group.column(c).to_numpy() for c in ("t", "h", "pos", "k", "kind", "before"))
+        pos, k, seed = pos.astype(np.int64), k.astype(np.int64), kind == 1
+        first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+        size = np.maximum.reduceat(pos + k, first) + 3 * LEAST
+        base = np.repeat(np.cumsum(size) - size + LEAST, np.diff(np.append(first, len(t))))
+        place = pos + base
+        bare = _cover(place[~seed], (place + k)[~seed], int(size.sum()) + 2 * LEAST)
+        mine = np.flatnonzero(seed)
+        mine = mine[np.argsort(place[mine], kind="stable")]
+        if not len(mine):
+            continue
+        at, key, own, sums, edge = place[mine], h[mine].view(np.uint64), pos[mine], before[mine].view(np.uint64), base[mine]
+        top = edge + np.repeat(np.maximum.reduceat(pos + k, first), np.diff(np.append(first, len(t))))[mine]  # the last seed's or passage's end
+        for step in range(1, len(at)):
+            one = np.flatnonzero(at[step:] - at[:-step] <= reach)
+            if not len(one):
+                break
+            two = one + step
+            with np.errstate(over="ignore"):
+                both = mixed(key[one] * np.uint64(_ODD) + mixed(key[two]))
+            lo, hi = np.maximum(at[one] - LEAST, edge[one]), np.minimum(at[two] + SEEDS[0][0] + LEAST, top[one])
+            yield pa.RecordBatch.from_arrays([pa.array(both.view(np.int64)), pa.array(within(sums, one, two, own).view(np.int64)), pa.array(t[mine][one]), pa.array(own[one].astype(np.int32)), pa.array(own[two].astype(np.int32)), pa.array(bare[hi] > bare[lo])], schema=_APART)
+
+
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of a text (itself, kind 0, its passages, kind 1, and its long seeds, kind 2) to the runs of LEAST words around the seeds, open where not covered."""
     for group in _grouped(batches, ["t"]):
@@ -588,6 +632,33 @@ def _finer(whole: DataFrame, seeds: DataFrame, found: DataFrame, cyclic: DataFra
     return links
 
 
+def _others(seeds: DataFrame, passed: list[DataFrame]) -> DataFrame:
+    """Links of what no passage covers still with all holders of its keys: of two seeds with other words between.
+
+    Where all words between a chain's seeds agree, it lies in a run of equal words; those of LEAST are found by their own hashes.  So a passage
+    with an edit has two seeds in a row, at most LONGEST_GAP apart, with other words between, and texts that agree there needn't meet: a
+    line that n texts share makes no pairs.
+    """
+    ends = [(x, F.col(f"{x}_from").alias("pos"), (F.col(f"{x}_to") - F.col(f"{x}_from")).alias("k")) for x in ("s", "t")]
+    rows = [f.select(F.lit(0).cast("bigint").alias("h"), F.col(x).alias("t"), pos, k, F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("before")) for f in passed for x, pos, k in ends]
+    both = seeds.filter(F.col("k") == SEEDS[0][0]).select("h", "t", "pos", "k", F.lit(1).alias("kind"), "before")
+    for r in rows:
+        both = both.unionByName(r)
+    pairs = saved(both.repartition("t").sortWithinPartitions("t", "kind").mapInArrow(_apart, _ddl(_APART)), "chain-apart")
+    keys = pairs.groupBy("key").agg(F.min("words").alias("a"), F.max("words").alias("z"), F.min("t").alias("s"), F.max("t").alias("e"), F.max("open").alias("any"), F.count("*").alias("n"))
+    keys = saved(keys.filter("a != z AND s != e AND any").select("key", F.ceil(F.col("n") / DEALT).cast("int").alias("parts")), "chain-keys")
+    both = saved(pairs.join(keys.hint("merge"), "key"), "chain-both")
+    drop(pairs, keys)
+    # a key's open places are dealt out, its holders stand in each part
+    asking = both.filter("open").select("key", "words", "t", "pos", "mate", F.pmod(F.xxhash64("t", "pos"), F.col("parts")).cast("int").alias("part"))
+    held = both.select("key", F.col("words").alias("w"), F.col("t").alias("s"), F.col("pos").alias("spos"), F.col("mate").alias("smate"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    met = asking.join(held.hint("merge"), ["key", "part"]).filter("words != w AND t != s")
+    met = met.select("t", "s", F.explode(F.array(F.struct("pos", "spos"), F.struct(F.col("mate").alias("pos"), F.col("smate").alias("spos")))).alias("p"))
+    links = saved(met.select("t", "s", "p.pos", "p.spos", F.lit(SEEDS[0][0]).alias("k"), F.lit(True).alias("again")).distinct(), "chain-others")
+    drop(both)
+    return links
+
+
 def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Passages of LEAST words or more that stand in another text too, edits of up to a fifth of the words allowed.
 
@@ -630,6 +701,8 @@ def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     found = _found(links, whole)
 
     rest = _finer(whole, met, found, cyclic)
+    found = found.unionByName(_found(rest, whole, few=True))
+    rest = _others(met, [found, cyclic])
     drop(met)
     found = found.unionByName(_found(rest, whole, few=True))
 

@@ -194,6 +194,33 @@ def test_work_on_a_common_line_grows_in_proportion(spark, monkeypatch):
     assert many <= 5 * few
 
 
+def test_edited_copies_among_holders_of_all_their_stretches(spark):
+    rng = random.Random(17)
+    base = words(rng, 120)
+    rows = [(i, " ".join(words(rng, 20) + [words(rng, 1)[0] if j % (40 + i) == 20 else w for j, w in enumerate(base)] + words(rng, 20))) for i in range(2)]
+    # others hold 45 words of it in a row, so all pairs of its seeds, but no passage
+    rows += [(2 + i, " ".join(words(rng, 30) + base[at : at + 45] + words(rng, 30))) for i, at in enumerate(list(range(0, 76, 5)) * 8)]
+    assert not {0, 1} & {by_hash(spark, rows)[i][0] for i in (0, 1, 2, -1, -2, -3)}
+    covered = {}
+    for d, a, b, *_ in found(spark, rows):
+        covered.setdefault(d, set()).update(range(a, b))
+    assert set(covered) == {0, 1} and all(len(c) >= 100 for c in covered.values())
+
+
+def test_a_common_line_alone_makes_no_links_with_all_its_holders(spark, monkeypatch):
+    rng = random.Random(18)
+    line, made, plain = words(rng, 30), {}, chaining.saved
+
+    def counted(df, name):
+        out = plain(df, name)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(chaining, "saved", counted)
+    assert found(spark, [(i, " ".join(words(rng, 40) + line + words(rng, 40))) for i in range(100)]) == []
+    assert made["chain-apart"] and made["chain-others"] == 0
+
+
 def test_chains_are_the_best(spark):
     """The Fenwick tree's scores against trying every predecessor."""
     rng = random.Random(10)
