@@ -23,15 +23,15 @@ STRETCH = 30.0
 def within(rows: DataFrame, rallies: DataFrame) -> DataFrame:
     """rows (match_id, time_s, …) with the rally_index whose [start_s, end_s) holds them; of several the first.
 
-    Time is cut into stretches, and the rallies that reach into one travel as one array by match and stretch, so this is no theta join and a
-    row's work doesn't grow with its match.
+    Time is cut into stretches, and a rally stands in each that it reaches into, so this is no theta join and a row's work doesn't grow with
+    its match.  A rally owns its time from where the ones that begin before it have all ended, so no row meets two.
     """
     stretch = lambda c: F.floor(F.col(c) / STRETCH)
-    reached = rallies.filter("start_s < end_s").withColumn("_b", F.explode(F.sequence(stretch("start_s"), stretch("end_s"))))
-    listed = reached.groupBy("match_id", "_b").agg(F.sort_array(F.collect_list(F.struct("start_s", "end_s", "rally_index"))).alias("spans"))
-    own = F.filter("spans", lambda s: (F.col("time_s") >= s["start_s"]) & (F.col("time_s") < s["end_s"]))
-    met = rows.withColumn("_b", stretch("time_s")).join(listed, ["match_id", "_b"]).withColumn("own", F.try_element_at(own, F.lit(1))).filter("own is not null")
-    return met.withColumn("rally_index", F.col("own.rally_index")).drop("own", "spans", "_b")
+    earlier = Window.partitionBy("match_id").orderBy("start_s", "end_s", "rally_index").rowsBetween(Window.unboundedPreceding, -1)
+    own = rallies.filter("start_s < end_s").select("match_id", "rally_index", F.greatest("start_s", F.max("end_s").over(earlier)).alias("_lo"), F.col("end_s").alias("_hi")).filter("_lo < _hi")
+    reached = own.withColumn("_b", F.explode(F.sequence(stretch("_lo"), stretch("_hi"))))
+    met = rows.withColumn("_b", stretch("time_s")).join(reached, ["match_id", "_b"]).filter("time_s >= _lo AND time_s < _hi")
+    return met.select(*[F.col(c) for c in rows.columns], "rally_index")
 
 
 def range_smooth(rows: DataFrame, value: str = "radial", window_s: float = ShotRule.smooth_s) -> DataFrame:
@@ -158,9 +158,11 @@ def candidates(rows: DataFrame, value: str = "smooth", rule: ShotRule = ShotRule
 
 def servers(track: DataFrame, rallies: DataFrame, rule: ShotRule = ShotRule(), court: CourtSpec = COURT, margin: float = RallyRule.box_margin) -> DataFrame:
     """match_id, rally_index, server: who serves in the first sample, of the rally's first seconds, that shows a serve."""
-    seen = geometry.serve_ready(within(tracks.samples(track), rallies), court, margin)
-    first = seen.withColumn("t0", F.min("time_s").over(Window.partitionBy(*RALLY))).filter(F.col("ready") & (F.col("time_s") <= F.col("t0") + rule.anchor_s))
-    return first.groupBy(*RALLY).agg(F.min_by("server", "k").alias("server"))
+    rows = within(track, rallies)
+    begun = rows.groupBy(*RALLY).agg(F.min("time_s").alias("t0"))
+    early = rows.join(begun, RALLY).filter(F.col("time_s") <= F.col("t0") + rule.anchor_s)  # few, so only these meet their samples' others
+    seen = geometry.serve_ready(tracks.samples(early, RALLY), court, margin)
+    return seen.filter("ready").groupBy(*RALLY).agg(F.min_by("server", "k").alias("server"))
 
 
 def alternated(found: DataFrame, server: DataFrame) -> DataFrame:

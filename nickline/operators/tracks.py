@@ -167,7 +167,7 @@ def wide(track: DataFrame, columns: tuple = ("x", "y"), form: str = "%.4f") -> D
     return track.groupBy("match_id", "k").agg(*seat)
 
 
-def samples(track: DataFrame) -> DataFrame:
-    """match_id, k, time_s, blobs and both players' positions, a row for each sample."""
+def samples(track: DataFrame, keys: tuple = ("match_id",)) -> DataFrame:
+    """keys (match_id), k, time_s, blobs and both players' positions, a row for each sample."""
     at = lambda slot, c: F.max(F.when(F.col("slot") == slot, F.col(c))).alias(f"{c}{slot}")
-    return track.groupBy("match_id", "k", "time_s").agg(F.min("blobs").alias("blobs"), at(0, "x"), at(0, "y"), at(1, "x"), at(1, "y"))
+    return track.groupBy(*keys, "k", "time_s").agg(F.min("blobs").alias("blobs"), at(0, "x"), at(0, "y"), at(1, "x"), at(1, "y"))

@@ -285,10 +285,13 @@ def q_alternation(spark, d):
     return shots.alternated(shots.candidates(_smooth(t, r)), shots.servers(t, r)).select("match_id", "rally_index", "slot", *r6("time_s"), "taken")
 
 
+_POINT = "CASE WHEN event_type = 'purchase' AND event_id % 40 = 0 THEN event_id END AS point"
+
+
 def _held(spark, d):
     """The track and its rallies, each made once: what looks samples up in rallies reads both several times."""
-    t = _track(spark, d).localCheckpoint()
-    return t, segments.rallies(segments.resting(t)).localCheckpoint()
+    t = _track(spark, d).select("match_id", "k", "slot", "time_s", "blobs", "x", "y", F.expr(_POINT)).localCheckpoint()
+    return t, segments.between(segments.rest_runs(t)).localCheckpoint()
 
 
 def _shots(spark, d):
@@ -311,12 +314,12 @@ def q_shot_summary(spark, d):
 
 
 def _pointed(track):
-    t = track.filter("event_type = 'purchase' and event_id % 40 = 0")
-    return t.select("match_id", (F.col("event_id") % 2).cast("int").alias("row"), F.least(F.expr("k div 400"), F.lit(4)).cast("int").alias("game"), "time_s")
+    t = track.filter("point is not null")
+    return t.select("match_id", (F.col("point") % 2).cast("int").alias("row"), F.least(F.expr("k div 400"), F.lit(4)).cast("int").alias("game"), "time_s")
 
 
 def _points(spark, d):
-    return _pointed(_track(spark, d))
+    return _pointed(_track(spark, d).select("*", F.expr(_POINT)))
 
 
 @query("nearest_point", chain(f"SELECT match_id, CAST(rally_index AS INT) AS rally_index, {s6('end_s', 'point_s')}, row, game FROM rp", "rp"))

@@ -7,7 +7,8 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from nickline.operators import shots
+from nickline.operators import segments, shots
+from nickline.plans import queries
 
 
 def plain(times, strength, gap):
@@ -59,3 +60,44 @@ def test_rallies_wider_than_a_batch(spark):
         assert want and sorted(map(tuple, shots.candidates(rows).collect())) == want
     finally:
         spark.conf.set(key, before)
+
+
+def test_runs_of_rest_in_one_walk_are_those_of_windows(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for m in (1, 2, None):
+        for k in range(400):
+            for s in (0, 1):
+                if rng.random() < 0.9:
+                    x, y = (float(rng.normal()) * (0.2 if k // 30 % 2 else 0.02) for _ in range(2))
+                    rows.append((m, k, s, k * 0.1, 2, None if rng.random() < 0.1 or 150 < k < 170 else x, None if rng.random() < 0.05 else y))
+    track = spark.createDataFrame(rows, "match_id int, k long, slot int, time_s double, blobs int, x double, y double")
+    want = sorted(map(repr, segments.runs(segments.resting(track), "resting").select("match_id", "run", "resting", "start_s", "end_s").collect()))
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    for size in ("7", "10000"):
+        spark.conf.set(key, size)
+        try:
+            assert sorted(map(repr, segments.rest_runs(track).collect())) == want and len(want) > 20
+        finally:
+            spark.conf.set(key, before)
+    assert segments.rest_runs(track.limit(0)).collect() == []
+
+
+def test_rallies_of_shots_need_no_window_over_a_match(spark, tmp_path):
+    odd = spark.sql("SELECT id AS event_id, TIMESTAMP_NTZ'2024-01-01 00:00:00' AS ts, 'click' AS event_type, 0.5D AS value FROM range(3)")
+    odd.write.parquet(f"{tmp_path}/events.parquet")
+    made, plain = [], segments.between
+    segments.between = lambda found, *a, **k: made.append(found) or plain(found, *a, **k)
+    try:
+        queries._held(spark, str(tmp_path))
+    finally:
+        segments.between = plain
+    assert made and "Window" not in made[0]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lookup_of_rallies_walks_no_lists(spark):
+    rallies = spark.createDataFrame([(1, 0, 0.0, 4.0)], "match_id int, rally_index int, start_s double, end_s double")
+    rows = spark.createDataFrame([(1, 1.0)], "match_id int, time_s double")
+    text = shots.within(rows, rallies)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in text and "collect_list" not in text
