@@ -3,7 +3,8 @@
 Equal texts are one class and its text is looked at once.  Winnowed k-mers of words are the seeds; each occurrence is joined with the
 occurrences in the texts that hold the seed first and last (by a hash of the text), so n holders make fewer than 2 n pairs, not n
 squared.  Where no passage covers an occurrence then, finer keys take the seed's place, joined the same way: pairs of neighbouring seeds, and
-all runs of 50 words around a long seed, whose holders all share a passage.  The seeds that two texts share become runs on a diagonal; a Fenwick tree chains runs in order with gap costs; chains are
+all runs of 50 words around a long seed, whose holders all share a passage.  What is open still is joined with all holders of pairs of seeds
+with other words between.  The seeds that two texts share become runs on a diagonal; a Fenwick tree chains runs in order with gap costs; chains are
 aligned word by word, out to where the words differ, and those long and alike enough are passages.  Stretches that repeat a few words
 over and over have no order to chain by: they are passages of each other if they repeat the same words.
 """
@@ -668,7 +669,7 @@ def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     round for each stretch of the holder (with the smallest other id).  Ids are those of classes of equal texts: the smallest.  Every document
     of a class of LEAST words or more has a row for its whole text, against the class's smallest id (that one against the largest).
     Where these gave none, runs of LEAST equal words are found by their own hashes, so every run of LEAST words that two texts share lies in
-    passages; edited ones are found if two of their neighbouring seeds have few other holders.  A passage ends at the first differing word beyond its
+    passages; edited ones that still aren't covered are found by any two seeds at most LONGEST_GAP apart, among all their holders.  A passage ends at the first differing word beyond its
     outermost seeds, so an edit near its end shortens it.  Documents without a passage have no row.  Null and empty texts have none; rows of one id and text are one document; a null id is an
     id of its own; further columns are not read, whatever their names.  Seeds' holders are chosen by a hash of the text, so results
     don't depend on how rows are dealt.
