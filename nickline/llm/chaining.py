@@ -3,8 +3,8 @@
 Equal texts are one class and its text is looked at once.  Winnowed k-mers of words are the seeds; each occurrence is joined with the
 occurrences in the texts that hold the seed first and last (by a hash of the text), so n holders make fewer than 2 n pairs, not n
 squared.  Where no passage covers an occurrence then, finer keys take the seed's place, joined the same way: pairs of neighbouring seeds, and
-all runs of 50 words around a long seed, whose holders all share a passage.  What is open still is joined with all holders of pairs of seeds
-with other words between.  The seeds that two texts share become runs on a diagonal; a Fenwick tree chains runs in order with gap costs; chains are
+all runs of 50 words around a long seed, whose holders all share a passage.  What is open still is joined with holders of pairs of seeds
+with other words between that agree as far as the open word: first with a few, then, where it is open yet, with all.  The seeds that two texts share become runs on a diagonal; a Fenwick tree chains runs in order with gap costs; chains are
 aligned word by word, out to where the words differ, and those long and alike enough are passages.  Stretches that repeat a few words
 over and over have no order to chain by: they are passages of each other if they repeat the same words.
 """
@@ -38,6 +38,8 @@ SALTS = 64
 BROADCAST_IDS = 500_000
 #: A key's places are dealt out in parts of about so many where all are joined.
 DEALT = 1000
+#: Before all meet, a place meets about so many of its key's holders, in each of TURNS turns.
+FEW, TURNS = 4, 1
 #: Where a seed's first and last holders gave no passage, it makes a key with each of so many next seeds.
 NEXT = 2
 
@@ -110,12 +112,12 @@ def stretches(word: np.ndarray, periods) -> list[tuple[int, int, int]]:
     return out
 
 
-_SEED = pa.schema([("h", pa.int64()), ("t", pa.int64()), ("pos", pa.int32()), ("k", pa.int32()), ("again", pa.bool_()), ("before", pa.int64())])
+_SEED = pa.schema([("h", pa.int64()), ("t", pa.int64()), ("pos", pa.int32()), ("k", pa.int32()), ("again", pa.bool_()), ("before", pa.int64()), ("size", pa.int32())])
 
 
 def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, t, pos, k, again, before): hash, text, place, words, whether the text has others with this hash or seeds beside it were left out (a chain of
-    it may be a passage however short it is), the sum of the text's words before it (see within).
+    """(h, t, pos, k, again, before, size): hash, text, place, words, whether the text has others with this hash or seeds beside it were left out (a chain of
+    it may be a passage however short it is), the sum of the text's words before it (see within), the text's words.
 
     A seed that the text has PERIOD words before or fewer is left out.  Of stretches k is the negative length.  A batch's texts are worked on together.
     """
@@ -155,11 +157,11 @@ def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             again[order] |= same[1:] | same[:-1]
             with np.errstate(over="ignore"):
                 before = (sums[at] - sums[begin[own]]) * _powers(_BACK, len(word))[begin[own]]
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(name[own]), pa.array((at - begin[own]).astype(np.int32)), pa.array(np.full(len(h), k, np.int32)), pa.array(again), pa.array(before.view(np.int64))], schema=_SEED)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(name[own]), pa.array((at - begin[own]).astype(np.int32)), pa.array(np.full(len(h), k, np.int32)), pa.array(again), pa.array(before.view(np.int64)), pa.array(size[own].astype(np.int32))], schema=_SEED)
         for o, lengths in periods.items():
             if found := stretches(word[begin[o] : begin[o] + size[o]], lengths):
                 n = len(found)
-                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array(np.full(n, name[o])), pa.array([f[1] for f in found], pa.int32()), pa.array([f[1] - f[2] for f in found], pa.int32()), pa.array(np.zeros(n, bool)), pa.array(np.zeros(n, np.int64))], schema=_SEED)
+                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array(np.full(n, name[o])), pa.array([f[1] for f in found], pa.int32()), pa.array([f[1] - f[2] for f in found], pa.int32()), pa.array(np.zeros(n, bool)), pa.array(np.zeros(n, np.int64)), pa.array(np.full(n, size[o], np.int32))], schema=_SEED)
 
 
 def runs(x: np.ndarray, y: np.ndarray, k: np.ndarray, again: np.ndarray) -> list[tuple[int, int, int, bool]]:
@@ -468,7 +470,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield _fine(both, t[mine][one], pos[mine][one], pos[mine][two], length, bare[at[two] + length] > bare[at[one]])
 
 
-_APART = pa.schema([("key", pa.int64()), ("words", pa.int64()), ("t", pa.int64()), ("pos", pa.int32()), ("mate", pa.int32()), ("open", pa.bool_())])
+_APART = pa.schema([("key", pa.int64()), ("words", pa.int64()), ("t", pa.int64()), ("pos", pa.int32()), ("mate", pa.int32()), ("size", pa.int32())])
 
 
 def within(before: np.ndarray, one: np.ndarray, two: np.ndarray, pos: np.ndarray) -> np.ndarray:
@@ -478,32 +480,73 @@ def within(before: np.ndarray, one: np.ndarray, two: np.ndarray, pos: np.ndarray
 
 
 def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of texts (passages, kind 0, and short shared seeds, kind 1) to keys of every two seeds that a chain may join, with the hash of the words
-    from one to the other; open where words within LEAST of the two aren't covered."""
+    """Rows of texts' short shared seeds to keys of every two that a chain may join, with the hash of the words from one to the other."""
     reach = LONGEST_GAP + SEEDS[0][0]
     for group in _whole(batches, "t"):
-        t, h, pos, k, kind, before = (group.column(c).to_numpy() for c in ("t", "h", "pos", "k", "kind", "before"))
-        pos, k, seed = pos.astype(np.int64), k.astype(np.int64), kind == 1
-        first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-        size = np.maximum.reduceat(pos + k, first) + 3 * LEAST
-        base = np.repeat(np.cumsum(size) - size + LEAST, np.diff(np.append(first, len(t))))
-        place = pos + base
-        bare = _cover(place[~seed], (place + k)[~seed], int(size.sum()) + 2 * LEAST)
-        mine = np.flatnonzero(seed)
-        mine = mine[np.argsort(place[mine], kind="stable")]
-        if not len(mine):
-            continue
-        at, key, own, sums, edge = place[mine], h[mine].view(np.uint64), pos[mine], before[mine].view(np.uint64), base[mine]
-        top = edge + np.repeat(np.maximum.reduceat(pos + k, first), np.diff(np.append(first, len(t))))[mine]  # the last seed's or passage's end
-        for step in range(1, len(at)):
-            one = np.flatnonzero(at[step:] - at[:-step] <= reach)
+        t, h, pos, before, size = (group.column(c).to_numpy() for c in ("t", "h", "pos", "before", "size"))
+        key, sums = h.view(np.uint64), before.view(np.uint64)
+        for step in range(1, len(t)):
+            one = np.flatnonzero((pos[step:] - pos[:-step] <= reach) & (t[step:] == t[:-step]))
             if not len(one):
                 break
             two = one + step
             with np.errstate(over="ignore"):
                 both = mixed(key[one] * np.uint64(_ODD) + mixed(key[two]))
-            lo, hi = np.maximum(at[one] - LEAST, edge[one]), np.minimum(at[two] + SEEDS[0][0] + LEAST, top[one])
-            yield pa.RecordBatch.from_arrays([pa.array(both.view(np.int64)), pa.array(within(sums, one, two, own).view(np.int64)), pa.array(t[mine][one]), pa.array(own[one].astype(np.int32)), pa.array(own[two].astype(np.int32)), pa.array(bare[hi] > bare[lo])], schema=_APART)
+            yield pa.RecordBatch.from_arrays([pa.array(both.view(np.int64)), pa.array(within(sums, one, two, pos).view(np.int64)), *(pa.array(x[one]) for x in (t, pos)), pa.array(pos[two]), pa.array(size[one])], schema=_APART)
+
+
+_ASKED = pa.schema([*list(_APART)[:5], ("open", pa.bool_()), ("left", pa.int32()), ("right", pa.int32())])
+
+
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of texts (passages, kind 0, from pos to mate, places of keys, kind 1, and the texts that ask, kind 2, or every) to the places: open where the
+    words from one seed to the other aren't all covered, else left and right are the words from the nearest that isn't to them (0: none).  With the
+    seed these are fewer than LEAST, as runs of LEAST equal words are covered."""
+    for group in _whole(batches, "t"):
+        key, words, t, pos, mate, size, kind, every = (group.column(c).to_numpy(zero_copy_only=False) for c in ("key", "words", "t", "pos", "mate", "size", "kind", "every"))
+        place, asks = kind == 1, every.astype(bool) | np.isin(t, t[kind == 2])
+        if not place.any():
+            continue
+        # all texts on one line, further apart than a place reaches
+        first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+        room = np.maximum.reduceat(np.maximum(mate, size).astype(np.int64), first) + 3 * LEAST
+        base = np.repeat(np.cumsum(room) - room + LEAST, np.diff(np.append(first, len(t))))
+        bare = _cover((pos + base)[kind == 0], (mate + base)[kind == 0], int(room.sum()) + 2 * LEAST)
+        there, line = bare[1:] > bare[:-1], np.arange(len(bare) - 1)
+        last, following = np.maximum.accumulate(np.where(there, line, -1)), np.minimum.accumulate(np.where(there, line, len(line))[::-1])[::-1]
+        edge = base[place]
+        lo, hi, end = pos[place] + edge, mate[place] + SEEDS[0][0] + edge, size[place] + edge
+        last, following, own = last[lo - 1], following[hi], bare[hi] > bare[lo]
+        beside, most = ~own & asks[place], LEAST - SEEDS[0][0]
+        left = np.where(beside & (lo - last < most) & (last >= edge), lo - last, 0)
+        right = np.where(beside & (following - hi + 1 < most) & (following < end), following - hi + 1, 0)
+        yield pa.RecordBatch.from_arrays([*(pa.array(x[place]) for x in (key, words, t, pos, mate)), pa.array(own & asks[place]), pa.array(left.astype(np.int32)), pa.array(right.astype(np.int32))], schema=_ASKED)
+
+
+_BESIDE = pa.schema(list(_ASKED)[:6])
+
+
+def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a text (itself, kind 0, its places of keys, kind 1) to keys that hold the words beside the place too, for each distance that lefts and
+    rights (a bit each) name; open where the text's own nearest uncovered word is at that distance."""
+    for group in _grouped(batches, ["t"]):
+        if group.num_rows < 2:
+            continue
+        word = word_hashes(next(texts(group.column("text").slice(0, 1))))
+        key, words, t, pos, mate, left, right, lefts, rights = (group.column(c).slice(1).to_numpy() for c in ("key", "words", "t", "pos", "mate", "left", "right", "lefts", "rights"))
+        with np.errstate(over="ignore"):
+            sums = np.concatenate([[np.uint64(0)], np.cumsum(word * _powers(_ODD, len(word))[: len(word)])])
+            found = []
+            for side, (own, asked) in enumerate(((left, lefts), (right, rights))):
+                i, n = np.nonzero(asked[:, None] >> np.arange(LEAST) & 1)
+                lo = mate[i].astype(np.int64) + SEEDS[0][0] if side else pos[i] - n
+                there = (lo >= 0) & (lo + n <= len(word))
+                i, n, lo = i[there], n[there], lo[there]
+                run = mixed((sums[lo + n] - sums[lo]) * _powers(_BACK, len(word))[lo] + (2 * n + side).astype(np.uint64))
+                found.append((i, mixed(key[i].view(np.uint64) * np.uint64(_ODD) + run), own[i] == n))
+        i, new, mine = (np.concatenate(x) for x in zip(*found))
+        if len(i):
+            yield pa.RecordBatch.from_arrays([pa.array(new.view(np.int64)), *(pa.array(x[i]) for x in (words, t, pos, mate)), pa.array(mine)], schema=_BESIDE)
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -633,31 +676,62 @@ def _finer(whole: DataFrame, seeds: DataFrame, found: DataFrame, cyclic: DataFra
     return links
 
 
-def _others(seeds: DataFrame, passed: list[DataFrame]) -> DataFrame:
-    """Links of what no passage covers still with all holders of its keys: of two seeds with other words between.
+def _placed(seeds: DataFrame) -> DataFrame:
+    """Places of keys of two seeds that texts hold with other words between.
 
     Where all words between a chain's seeds agree, it lies in a run of equal words; those of LEAST are found by their own hashes.  So a passage
     with an edit has two seeds in a row, at most LONGEST_GAP apart, with other words between, and texts that agree there needn't meet: a
     line that n texts share makes no pairs.
     """
-    ends = [(x, F.col(f"{x}_from").alias("pos"), (F.col(f"{x}_to") - F.col(f"{x}_from")).alias("k")) for x in ("s", "t")]
-    rows = [f.select(F.lit(0).cast("bigint").alias("h"), F.col(x).alias("t"), pos, k, F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("before")) for f in passed for x, pos, k in ends]
-    both = seeds.filter(F.col("k") == SEEDS[0][0]).select("h", "t", "pos", "k", F.lit(1).alias("kind"), "before")
-    for r in rows:
-        both = both.unionByName(r)
-    pairs = saved(both.repartition("t").sortWithinPartitions("t", "kind").mapInArrow(_apart, _ddl(_APART)), "chain-apart")
+    short = seeds.filter(F.col("k") == SEEDS[0][0]).select("h", "t", "pos", "before", "size")
+    pairs = saved(short.repartition("t").sortWithinPartitions("t", "pos").mapInArrow(_apart, _ddl(_APART)), "chain-apart")
+    keys = pairs.groupBy("key").agg(F.min("words").alias("a"), F.max("words").alias("z"), F.min("t").alias("s"), F.max("t").alias("e"))
+    keys = saved(keys.filter("a != z AND s != e").select("key"), "chain-keys")
+    placed = saved(pairs.join(keys.hint("merge"), "key"), "chain-placed")
+    drop(pairs, keys)
+    return placed
+
+
+def _others(whole: DataFrame, placed: DataFrame, passed: list[DataFrame], turn: int | None, ask: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Links of what no passage covers still with all holders of its keys, or in a turn with about FEW of them; and the texts (t) that ask in the next.
+
+    A word that isn't covered lies between a chain's two seeds with other words between, or in a run of equal words with one of them; there only
+    holders that agree from the seed to that word can cover it, so the words' hash is of the key, and n copies of a text don't meet for an edit that
+    is one's own.  A text without such a holder asks no more, unless its passages change.  The texts that ask, all without ask, are dropped.
+    """
+    zero, none = F.lit(0).cast("bigint"), F.lit(0)
+    both = placed.withColumns({"kind": F.lit(1), "every": F.lit(ask is None)})
+    spans = [(f, F.col(x), F.col(f"{x}_from"), F.col(f"{x}_to"), 0) for f in passed for x in ("s", "t")]
+    for f, t, pos, mate, kind in [*spans, *([(ask, F.col("t"), none, none, 2)] if ask is not None else [])]:
+        both = both.unionByName(f.select(zero.alias("key"), zero.alias("words"), t.alias("t"), pos.alias("pos"), mate.alias("mate"), none.alias("size"), F.lit(kind).alias("kind"), F.lit(ask is None).alias("every")))
+    asked = saved(both.repartition("t").sortWithinPartitions("t", "kind").mapInArrow(_asked, _ddl(_ASKED)), "chain-asked")
+    bits = [F.bit_or(F.when(F.col(x) > 0, F.expr(f"shiftleft(1L, {x})")).otherwise(zero)).alias(f"{x}s") for x in ("left", "right")]
+    keys = saved(asked.groupBy("key").agg(F.max("open").alias("any"), *bits).filter("any OR lefts != 0 OR rights != 0"), "chain-keys")
+    near = saved(asked.join(keys.hint("merge"), "key"), "chain-near")
+    drop(asked, keys, *([ask] if ask is not None else []))
+
+    beside = near.filter("lefts != 0 OR rights != 0").select("t", "key", "words", "pos", "mate", "left", "right", "lefts", "rights", F.lit(1).alias("kind"))
+    read = saved(beside.select("t").distinct(), "chain-read")
+    texts_in = _only(whole, read).select("t", "text", none.alias("kind"))
+    both = texts_in.unionByName(beside, allowMissingColumns=True).repartition("t").sortWithinPartitions("t", "kind")
+    beside = saved(both.mapInArrow(_beside, _ddl(_BESIDE)), "chain-beside")
+
+    pairs = near.filter("any").select(*_BESIDE.names).unionByName(beside)
     keys = pairs.groupBy("key").agg(F.min("words").alias("a"), F.max("words").alias("z"), F.min("t").alias("s"), F.max("t").alias("e"), F.max("open").alias("any"), F.count("*").alias("n"))
-    keys = saved(keys.filter("a != z AND s != e AND any").select("key", F.ceil(F.col("n") / DEALT).cast("int").alias("parts")), "chain-keys")
+    keys = saved(keys.filter("a != z AND s != e AND any").select("key", F.ceil(F.col("n") / (DEALT if turn is None else FEW)).cast("int").alias("parts")), "chain-keys")
     both = saved(pairs.join(keys.hint("merge"), "key"), "chain-both")
-    drop(pairs, keys)
-    # a key's open places are dealt out, its holders stand in each part
-    asking = both.filter("open").select("key", "words", "t", "pos", "mate", F.pmod(F.xxhash64("t", "pos"), F.col("parts")).cast("int").alias("part"))
-    held = both.select("key", F.col("words").alias("w"), F.col("t").alias("s"), F.col("pos").alias("spos"), F.col("mate").alias("smate"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    drop(near, read, beside, keys)
+    part = F.pmod(F.xxhash64("t", F.lit(turn or 0)), F.col("parts")).cast("int")
+    # a key's open places are dealt out; its holders stand in each part, in a turn in theirs
+    asking = both.filter("open").select("key", "words", "t", "pos", "mate", part.alias("part"))
+    stands = F.explode(F.sequence(none, F.col("parts") - 1)) if turn is None else part
+    held = both.select("key", F.col("words").alias("w"), F.col("t").alias("s"), F.col("pos").alias("spos"), F.col("mate").alias("smate"), stands.alias("part"))
     met = asking.join(held.hint("merge"), ["key", "part"]).filter("words != w AND t != s")
     met = met.select("t", "s", F.explode(F.array(F.struct("pos", "spos"), F.struct(F.col("mate").alias("pos"), F.col("smate").alias("spos")))).alias("p"))
     links = saved(met.select("t", "s", "p.pos", "p.spos", F.lit(SEEDS[0][0]).alias("k"), F.lit(True).alias("again")).distinct(), "chain-others")
+    ask = saved(both.filter("open").select("t").unionByName(links.select(F.col("s").alias("t"))).distinct(), "chain-asking")
     drop(both)
-    return links
+    return links, ask
 
 
 def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -703,9 +777,13 @@ def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
     rest = _finer(whole, met, found, cyclic)
     found = found.unionByName(_found(rest, whole, few=True))
-    rest = _others(met, [found, cyclic])
+    placed = _placed(met)
     drop(met)
-    found = found.unionByName(_found(rest, whole, few=True))
+    ask = None
+    for turn in (*range(TURNS), None):
+        rest, ask = _others(whole, placed, [found, cyclic], turn, ask)
+        found = found.unionByName(_found(rest, whole, few=True))
+    drop(placed, ask)
 
     def named(*cols):
         return [F.col(c).cast("long").alias(n) for c, n in zip(cols, ("doc_id", "first_word", "end_word", "other_id", "other_first", "other_end", "agreeing"))]

@@ -261,3 +261,11 @@ def test_whole_table(spark):
         u, v = texts[d].lower().split(), texts[o].lower().split()
         assert 0 <= a < b <= len(u) and 0 <= c < e <= len(v) and d != o
         assert m >= chaining.ALIKE * max(b - a, e - c)
+
+
+def test_near_copies_do_not_all_meet(spark):
+    """Copies with edits of their own meet a few others, and all holders only where these gave nothing."""
+    rng, base, n = random.Random(19), words(random.Random(20), 150), 60
+    result = found(spark, [(i, " ".join(w if rng.random() < 0.97 else words(rng, 1)[0] for w in base)) for i in range(n)])
+    assert {r[0] for r in result} == set(range(n))
+    assert len(result) <= 10 * n
